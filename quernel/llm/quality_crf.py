@@ -22,7 +22,7 @@ from quernel.llm.toxicity import training_rows
 #: Expected number of training documents of each label at most (picked by a hash of doc_id).
 TRAIN_ROWS = {1: 4000, 0: 3000}
 #: Bins of a figure; steps, rate and ridge of the fit.
-BINS, STEPS, RATE, RIDGE = 8, 150, 0.05, 0.02
+BINS, STEPS, RATE, RIDGE = 8, 300, 0.08, 0.002
 FEATURES = ["length", "letters", "upper", "digits", "symbols", "points", "words", "word_length", "distinct", "doubled", "seen", "ended"]
 #: Class of each code point below 0x10000: 1 lower or other letter, 2 upper letter, 4 digit, 8 one of #*$%&|<>, 16 other mark.
 _classes: np.ndarray | None = None

@@ -1,6 +1,7 @@
 """Operator 8: toxicity by FTRL-proximal logistic regression.
 
-Features are hashed word unigrams, bigrams and skip-bigrams (one word between), present or not. Every
+Features are hashed word unigrams (with their beginnings, so that forms of one word share a weight),
+bigrams and skip-bigrams (one word between), present or not. Every
 coordinate has its own learning rate, and L1 keeps most weights at exactly zero, so what is broadcast is
 a short list of (slot, weight), at most SLOTS long.
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,36 +23,65 @@ from pyspark.sql import functions as F
 
 from quernel.llm.common import documents, held_out, labels, map_batches, texts_of
 
-SLOTS = 1 << 20
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
+#: Beginnings of a word, in letters, that are features as the word is: forms of one word share a weight.
+PREFIXES = (4, 5, 6, 7)
 #: Expected number of training rows of each label at most (picked by a hash of doc_id).
 TRAIN_ROWS = {1: 5000, 0: 10000}
 #: Words that a worker keeps the hash of; emptied when full.
 KEPT_WORDS = 400_000
-ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 1.0, 1.0, 4
+ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 4.0, 1.0, 6
 
 WORD = re.compile(r"[^\W_]+")
 
 
-class Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT_WORDS:
+class Words:
+    """Word -> row of `table`: hashes of the word and of its beginnings (PREFIXES letters, where longer), 0 for none."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.table = np.zeros((1024, 1 + len(PREFIXES)), np.uint64)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        ids = self.ids
+        if len(ids) > KEPT_WORDS:
             self.clear()
-        h = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-        return h
+            ids = self.ids
+        known = len(ids)
+        at = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+        if len(ids) > known:
+            while len(ids) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            for w in list(islice(reversed(ids), len(ids) - known)):
+                row = self.table[ids[w]]
+                row[0] = zlib.crc32(w.encode("utf-8", "surrogatepass")) + 1
+                for k, n in enumerate(PREFIXES):
+                    if len(w) > n:
+                        row[1 + k] = zlib.crc32(b"%d " % n + w[:n].encode("utf-8", "surrogatepass")) + (k + 2 << 32)
+        return at
 
 
-_hashes = Hashes()
+_words = Words()
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def slots(text: str) -> np.ndarray:
     """The distinct slots of a text's features, ascending."""
     words = WORD.findall(text.lower())
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    one = h * np.uint64(0x9E3779B97F4A7C15)
+    if not words:
+        return np.empty(0, np.int64)
+    at = _words.rows(words)
+    h = _words.table[at, 0]
+    one = _words.table[np.unique(at)].ravel()
     two = (h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[1:] * np.uint64(0x165667B19E3779F9))
     skip = (h[:-2] * np.uint64(0x27D4EB2F165667C5)) ^ (h[2:] * np.uint64(0x85EBCA77C2B2AE63))
-    mixed = np.concatenate([one, two * np.uint64(0x9E3779B97F4A7C15), skip * np.uint64(0x9E3779B97F4A7C15)])
-    return np.unique((mixed >> np.uint64(64 - 20)).astype(np.int64))
+    mixed = np.concatenate([one[one > 0], two, skip]) * MIX
+    mixed ^= mixed >> np.uint64(29)
+    return np.unique(((mixed * MIX) >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
 
 
 class Ftrl:
