@@ -1,13 +1,58 @@
-"""A pipeline over `documents`: quality classifier, quality rules, MinHash near-dedup, suffix dedup, packing."""
+"""A pipeline over `documents`: quality classifier, quality rules, MinHash near-dedup, suffix dedup, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and but for the
+last returns the columns of documents. run() writes each stage's rows to the shared folder and reads them
+back as the next one's input. Rows with a null doc_id pass the dedup stages as they are.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernel.llm import near_duplicates, packing, quality_crf, quality_rules, suffix_dedup
+from quernel.llm.common import cut, documents, held_out, labels
+
+#: The classifier, the differencing and the suffix order can't be put into SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality_crf.fit(docs, labels(spark, sf_dir), held_out("doc_id", 3, 1))
+    return quality_crf.keep_good(docs, model)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_passing(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = near_duplicates.near_duplicates(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def suffix_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.drop_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.with_digest(packing.pack(docs))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", rules),
+    ("near duplicates", near_dedup),
+    ("suffix dedup", suffix_cut),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs, "stage-" + name.replace(" ", "-"))
     return docs

@@ -70,6 +70,19 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch]
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, text_col: str, keep: Callable[[list[str]], np.ndarray], rows: int = SLICE_ROWS) -> DataFrame:
+    """The rows of df, all columns as they are, whose text keep() marks true."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                yield part.filter(pa.array(keep(texts_of(part.column(at))), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a text column, null as empty."""
     return [t or "" for t in column.to_pylist()]

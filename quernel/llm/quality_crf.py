@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import documents, held_out, labels, map_batches, texts_of
+from quernel.llm.common import documents, filter_batches, held_out, labels, map_batches, texts_of
 from quernel.llm.toxicity import training_rows
 
 #: Expected number of training documents of each label at most (picked by a hash of doc_id).
@@ -114,7 +114,7 @@ class Chains:
                 alive -= 1
             self.steps.append(first[:alive] + t)
 
-    def marginals(self, unary: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def marginals(self, unary: np.ndarray, link: np.ndarray, links: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """unary: (lines, 2) log scores; link: (2, 2) log scores. Returns (line marginals, expected links, log partition of each document in order)."""
         forward, backward = np.zeros_like(unary), np.zeros_like(unary)
         steps, z = self.steps, np.zeros(len(self.sizes))
@@ -131,15 +131,15 @@ class Chains:
             backward[now] = np.logaddexp(x[:, :1] + link[:, 0], x[:, 1:] + link[:, 1])
         both = forward + backward
         total = np.logaddexp(both[:, 0], both[:, 1])
-        links = np.zeros((2, 2))
-        for t in range(1, len(steps)):
+        expected = np.zeros((2, 2))
+        for t in range(1, len(steps) if links else 0):
             at = steps[t]
             was = steps[t - 1][: len(at)]
             joint = forward[was][:, :, None] + link[None] + (unary[at] + backward[at])[:, None, :] - total[at][:, None, None]
-            links += np.exp(joint).sum(axis=0)
+            expected += np.exp(joint).sum(axis=0)
         if len(steps):
             z[:] = total[steps[0]]
-        return np.exp(both - total[:, None]), links, z
+        return np.exp(both - total[:, None]), expected, z
 
 
 def fit_crf(docs: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -181,28 +181,39 @@ def fit(docs: DataFrame, marks: DataFrame, is_held: F.Column, label: str = "qual
     return fit_crf([(np.frombuffer(f, np.float32).reshape(-1, len(FEATURES)).astype(float), y) for _, f, y in rows])
 
 
+def score_texts(texts: list[str], model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, number of lines, lines more likely bad than good) of each text."""
+    got = [line_figures(t) for t in texts]
+    sizes = [len(s) for _, s in got]
+    docs_of = np.repeat(np.arange(len(got)), sizes)
+    if model is None:
+        good = np.full(len(docs_of), 0.5)
+    else:
+        edges, w, link = model
+        columns = np.concatenate([with_neighbours(binned(f.astype(np.float32).astype(float), edges)) for f, _ in got])
+        unary = np.zeros((len(docs_of), 2))
+        unary[:, 1] = w[columns].sum(axis=1) + w[WEIGHTS]
+        good = Chains(sizes).marginals(unary, link, links=False)[0][:, 1]
+    weight = np.concatenate([s for _, s in got]).astype(float)
+    whole = np.bincount(docs_of, weight, len(got))
+    weight[whole[docs_of] == 0] = 1
+    s = np.clip(np.bincount(docs_of, weight * good, len(got)) / np.bincount(docs_of, weight, len(got)), 0, 1)
+    return s, np.array(sizes, np.int64), np.bincount(docs_of, good < 0.5, len(got)).astype(np.int64)
+
+
 def score(docs: DataFrame, model) -> DataFrame:
     """(doc_id, score, predicted, n_lines, bad_lines) for every row."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [line_figures(t) for t in texts_of(batch.column(1))]
-        sizes = [len(s) for _, s in got]
-        docs_of = np.repeat(np.arange(len(got)), sizes)
-        if model is None:
-            good = np.full(len(docs_of), 0.5)
-        else:
-            edges, w, link = model
-            columns = np.concatenate([with_neighbours(binned(f.astype(np.float32).astype(float), edges)) for f, _ in got])
-            unary = np.zeros((len(docs_of), 2))
-            unary[:, 1] = w[columns].sum(axis=1) + w[WEIGHTS]
-            good = Chains(sizes).marginals(unary, link)[0][:, 1]
-        weight = np.concatenate([s for _, s in got]).astype(float)
-        whole = np.bincount(docs_of, weight, len(got))
-        weight[whole[docs_of] == 0] = 1
-        s = np.clip(np.bincount(docs_of, weight * good, len(got)) / np.bincount(docs_of, weight, len(got)), 0, 1)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(np.array(sizes, np.int64)), pa.array(np.bincount(docs_of, good < 0.5, len(got)).astype(np.int64))], names=["doc_id", "score", "predicted", "n_lines", "bad_lines"])
-
-    return map_batches(docs.select("doc_id", "text"), ["doc_id", "text"], fn, "doc_id long, score double, predicted int, n_lines long, bad_lines long")
+        s, lines, bad = score_texts(texts_of(batch.column(1)), model)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(lines), pa.array(bad)], names=["doc_id", "score", "predicted", "n_lines", "bad_lines"])
+
+    return map_batches(docs, ["doc_id", "text"], fn, "doc_id long, score double, predicted int, n_lines long, bad_lines long")
+
+
+def keep_good(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
+    """The rows, all columns as they are, that score at least the threshold."""
+    return filter_batches(docs, "text", lambda texts: score_texts(texts, model)[0] >= threshold)
 
 
 def op4_quality_crf(spark, sf_dir):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import documents, map_batches, texts_of
+from quernel.llm.common import documents, filter_batches, map_batches, texts_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -116,5 +116,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], fn, schema)
 
 
+def verdict(text: str) -> bool:
+    n, *_, ok = got = measure(text)
+    return ok and n >= MIN_WORDS and 100 * got[4] <= REPEAT_PERCENT * n
+
+
+def keep_passing(docs: DataFrame) -> DataFrame:
+    """The rows, all columns as they are, whose text passes."""
+    return filter_batches(docs, "text", lambda texts: np.array([verdict(t) for t in texts], bool))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir))

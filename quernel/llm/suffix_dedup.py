@@ -297,6 +297,123 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     return full.union(near.filter("w is null").select("doc_id", "first", "last")).union(hot.join(twice, "w", "left_semi").select("doc_id", "first", F.col("first").alias("last")))
 
 
+def span_arrays(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first, last) arrays of each row of an array<struct<first, last>> column; a null row has none."""
+    flat = column.flatten()
+    first, last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+    used = 0
+    for n in column.value_lengths().fill_null(0).to_pylist():
+        yield first[used : used + n], last[used : used + n]
+        used += n
+
+
+def remove_spans(raw: bytes, first: np.ndarray, last: np.ndarray) -> tuple[int, int, int, list[int], bytes]:
+    """(n_bytes, n_removed, n_spans, [start, end, ...], kept) once the strings that start in first..last are taken out."""
+    n = len(raw)
+    if not len(first):
+        return n, 0, 0, [], raw
+    last = np.minimum(last, n - LENGTH)
+    ok = last >= first
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, first[ok], 1)
+    np.add.at(step, last[ok] + LENGTH, -1)
+    gone = np.cumsum(step)[:n] > 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    return n, int(gone.sum()), len(edge) // 2, edge.tolist(), np.frombuffer(raw, np.uint8)[~gone].tobytes()
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """docs, all columns as they are, with repeated strings cut out of text. A character whose bytes were cut apart goes as a whole."""
+    spans = repeated_starts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("at")).select(F.col("doc_id").alias("_spans_of"), F.col("at").alias("_spans_at"))
+    names, at = docs.columns, docs.columns.index("text")
+    joined = docs.join(spans.hint("shuffle_hash"), docs["doc_id"] == spans["_spans_of"], "left").drop("_spans_of")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                text if text is None or not len(span[0]) else remove_spans(text.encode(), *span)[4].decode("utf-8", "ignore")
+                for text, span in zip(batch.column(at).to_pylist(), span_arrays(batch.column(len(names))))
+            ]
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, docs.schema)
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, spans, kept): spans as [start, end) pairs in bytes, kept as the bytes that remain."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spans = repeated_starts(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("at")).withColumnRenamed("doc_id", "own")
+    joined = docs.join(spans.hint("shuffle_hash"), docs.doc_id == spans.own, "left")
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = list(zip(*[remove_spans((text or "").encode(), *at) for text, at in zip(batch.column(1).to_pylist(), span_arrays(batch.column(2)))]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(got, kinds)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+
+    return map_batches(joined, ["doc_id", "text", "at"], fn, "r long, doc_id long, pos int, before int, data binary")
+
+
+def repeated_starts(docs: DataFrame) -> DataFrame:
+    """(doc_id, first, last): ranges of positions at which a repeated string of LENGTH bytes starts (ranges may overlap)."""
+    rows = anchor_rows(docs).repartition("r").sortWithinPartitions("r", "f").mapInArrow(classes, "doc_id long, pos int, r long")
+    found = cut(rows, "suffix-classes")
+    full = found.filter("r is null").select("doc_id", F.greatest(F.col("pos") - BEFORE, F.lit(0)).alias("first"), F.col("pos").alias("last"))
+    edges = found.filter("r is not null")
+    near = surroundings(docs, edges).repartition("r").sortWithinPartitions("r").mapInArrow(sort_classes(), SPANS)
+    near = cut(near, "suffix-spans")
+    hot = near.filter("w is not null").select("doc_id", "first", "w").distinct()
+    twice = hot.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
+    return full.union(near.filter("w is null").select("doc_id", "first", "last")).union(hot.join(twice, "w", "left_semi").select("doc_id", "first", F.col("first").alias("last")))
+
+
+def span_arrays(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first, last) arrays of each row of an array<struct<first, last>> column; a null row has none."""
+    flat = column.flatten()
+    first, last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+    used = 0
+    for n in column.value_lengths().fill_null(0).to_pylist():
+        yield first[used : used + n], last[used : used + n]
+        used += n
+
+
+def remove_spans(raw: bytes, first: np.ndarray, last: np.ndarray) -> tuple[int, int, int, list[int], bytes]:
+    """(n_bytes, n_removed, n_spans, [start, end, ...], kept) once the strings that start in first..last are taken out."""
+    n = len(raw)
+    if not len(first):
+        return n, 0, 0, [], raw
+    last = np.minimum(last, n - LENGTH)
+    ok = last >= first
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, first[ok], 1)
+    np.add.at(step, last[ok] + LENGTH, -1)
+    gone = np.cumsum(step)[:n] > 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    return n, int(gone.sum()), len(edge) // 2, edge.tolist(), np.frombuffer(raw, np.uint8)[~gone].tobytes()
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """docs, all columns as they are, with repeated strings cut out of text. A character whose bytes were cut apart goes as a whole."""
+    spans = repeated_starts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("at")).select(F.col("doc_id").alias("_spans_of"), F.col("at").alias("_spans_at"))
+    names, at = docs.columns, docs.columns.index("text")
+    joined = docs.join(spans.hint("shuffle_hash"), docs["doc_id"] == spans["_spans_of"], "left").drop("_spans_of")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                text if text is None or not len(span[0]) else remove_spans(text.encode(), *span)[4].decode("utf-8", "ignore")
+                for text, span in zip(batch.column(at).to_pylist(), span_arrays(batch.column(len(names))))
+            ]
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept): spans as [start, end) pairs in bytes, kept as the bytes that remain."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
