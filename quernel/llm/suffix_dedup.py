@@ -2,22 +2,22 @@
 
 Sorting every suffix of the corpus would shuffle many times its size, so the sort is dealt out first:
 
-1. Anchors: a position is an anchor if its 16-byte gram is the smallest of some WINDOW grams in a row. Any
-   LENGTH-byte string has one among its first WINDOW positions, chosen by its content alone, so equal
-   strings have it at the same place.
-2. Equal LENGTH-byte strings share the CORE bytes from their anchor on. Anchors are dealt out by a hash of
-   their core; one whose core is unique is done. Anchors equal in all of their surroundings (WINDOW - 1
-   bytes before, LENGTH after) are repeated in full and need no sort.
-3. What is left lies at the edge of a repeat: of each different surrounding of a core, one is kept as a
-   text of at most WINDOW - 1 + LENGTH bytes. A task joins the texts of its cores and sorts their
-   suffixes by difference cover: sampled triples are sorted and named, the names are sorted by recursion,
-   the remaining suffixes are merged in. Neighbours in that order with an equal prefix of LENGTH bytes
-   are repeats.
-4. A core with more than HOT different surroundings isn't gathered: its strings are counted by hash, with
-   partial sums, and joined back.
-
-Spans are then joined to their document, whose text is cut. Hashes are of 64 bits (surroundings: core and
-surrounding both agree); the suffix order compares bytes.
+1. Every start of a LENGTH-byte string has an anchor: the smallest 16-byte gram of the WINDOW grams from it
+   on, the first of equal ones. It depends on the string alone, so equal strings have it at the same
+   distance. Starts with one anchor, at distances of one range of RANGE, are handled together.
+2. The strings at such a range of starts share a core, the bytes that are in all of them. Ranges are dealt
+   out by a hash of their core; one whose core is unique is done. Ranges equal in all of their bytes (core
+   and both sides) are repeated in full and need no sort.
+3. What is left lies at the edge of a repeat: of each different pair of sides of a core, one is kept, as a
+   text of at most RANGE - 1 bytes, the core as one symbol, and RANGE - 1 bytes. A task joins the texts of
+   its cores and sorts their suffixes by difference cover: sampled triples are sorted and named, the names
+   are sorted by recursion, the remaining suffixes are merged in. Neighbours in that order with an equal
+   prefix, as long as a string, are repeats.
+4. A core with more than HOT different sides isn't gathered: its ranges are divided into ranges of STEP,
+   judged like the larger ones by counts with partial sums, and only at an edge string by string.
+
+Spans are then joined to their document, whose text is cut. Hashes are of 64 bits (core and sides both
+agree); the suffix order compares bytes.
 
 Defined cases: null text is empty; texts shorter than LENGTH are kept whole; equal rows repeat each
 other; an empty table gives no row; columns other than doc_id and text are ignored. doc_id identifies a
@@ -37,29 +37,19 @@ from quernel.llm.common import cut, documents, map_batches
 from quernel.llm.hashing import Prefix, mix
 from quernel.llm.suffixes import equal_prefixes, suffix_array
 
-LENGTH, GRAM, WINDOW = 400, 16, 128
-BEFORE = WINDOW - 1
-CORE = LENGTH - BEFORE
-#: Different surroundings of one core that are gathered for one sort; bytes that one sort takes.
-HOT, SORT_BYTES = 1500, 600_000
+LENGTH, GRAM, WINDOW, RANGE = 400, 16, 128, 64
+SIDE = RANGE - 1
+#: Different sides of one core that are gathered for one sort; symbols that one sort takes.
+HOT, SORT_SYMBOLS = 4000, 500_000
+#: Starts that are judged together in a core with more sides than that.
+STEP = 8
 
 _U = np.uint64
 
 
-def sliding(h: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick (minimum or maximum) over each `width` values in a row; width is a power of two."""
-    step = 1
-    while step < width:
-        h = pick(h[:-step], h[step:])
-        step *= 2
-    return h
-
-
-def anchors(data: np.ndarray) -> np.ndarray:
-    """Positions whose gram is the smallest of some WINDOW grams in a row, ties included."""
+def grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each position on."""
     n = len(data)
-    if n < GRAM + WINDOW:
-        return np.empty(0, np.int64)
     raw = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.empty((n // 8) * 8, np.uint64)
     for k in range(8):
@@ -68,61 +58,83 @@ def anchors(data: np.ndarray) -> np.ndarray:
     h = words[:count] * _U(0x9E3779B97F4A7C15) ^ (words[8 : 8 + count] * _U(0xC2B2AE3D27D4EB4F) >> _U(3))
     h ^= h >> _U(31)
     h *= _U(0xBF58476D1CE4E5B9)
-    h ^= h >> _U(29)
-    least = sliding(h, WINDOW, np.minimum)
-    edge = np.zeros(WINDOW - 1, np.uint64)
-    most = sliding(np.concatenate([edge, least, edge]), WINDOW, np.maximum)
-    return np.flatnonzero(most == h)
+    return h ^ (h >> _U(29))
+
+
+def ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, part): first start of each range of RANGE starts that share an anchor, and which range of its distances it is.
+
+    Only ranges with at least one string inside the text; others of their starts may lie outside.
+    """
+    n = len(data)
+    strings = n - LENGTH + 1
+    if strings < 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    low = _U((1 << (24 if n < 1 << 24 else 36)) - 1)
+    least = grams(data) & ~low | np.arange(n - GRAM + 1, dtype=np.uint64)  # equal grams: the first
+    step = 1
+    while step < WINDOW:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    anchor = (least[:strings] & low).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    last = np.append(first[1:], strings) - 1
+    anchor = anchor[first]
+    starts, parts = [], []
+    for part in range(WINDOW // RANGE):
+        start = anchor - part * RANGE - SIDE
+        hit = (first <= start + SIDE) & (last >= start)
+        starts.append(start[hit])
+        parts.append(np.full(int(hit.sum()), part))
+    return np.concatenate(starts), np.concatenate(parts)
+
 
+MEMBER = np.dtype([("doc", "<i8"), ("start", "<i4")])
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(r, f, n, members): core hash, surrounding hash, and the anchors (doc_id, pos as packed numbers) that have both, collapsed within a batch."""
+
+def range_rows(docs: DataFrame) -> DataFrame:
+    """(r, f, n, members): core hash, hash of core and sides, and the ranges (doc_id, start as packed numbers) that have both, collapsed within a batch."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        r, f, doc, pos = [], [], [], []
+        r, f, doc, at = [], [], [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if i is None or text is None:
                 continue
             data = np.frombuffer(text.encode(), np.uint8)
-            if len(data) < LENGTH:
+            start, part = ranges(data)
+            if not len(start):
                 continue
-            at = anchors(data)
-            at = at[at + CORE <= len(data)]
             sums = Prefix(data)
-            low, high = np.maximum(at - BEFORE, 0), np.minimum(at + LENGTH, len(data))
-            r.append(sums.span(at, at + CORE))
-            f.append(mix(sums.span(low, high) ^ ((at - low).astype(np.uint64) * _U(0x9FB21C651E98DF25))))
-            pos.append(at)
-            doc.append(np.full(len(at), i, np.int64))
+            low, high = np.maximum(start, 0), np.minimum(start + LENGTH + SIDE, len(data))
+            r.append(mix(sums.span(start + SIDE, start + LENGTH) + part.astype(np.uint64)))
+            f.append(mix(sums.span(low, high) ^ ((low - start).astype(np.uint64) * _U(0x9FB21C651E98DF25))))
+            at.append(start)
+            doc.append(np.full(len(start), i, np.int64))
         if not r:
             return None
-        r, f, doc, pos = np.concatenate(r).view(np.int64), np.concatenate(f).view(np.int64), np.concatenate(doc), np.concatenate(pos)
+        r, f, doc, at = np.concatenate(r).view(np.int64), np.concatenate(f).view(np.int64), np.concatenate(doc), np.concatenate(at)
         order = np.lexsort([f, r])
-        r, f, doc, pos = r[order], f[order], doc[order], pos[order]
-        new = np.concatenate([[True], (r[1:] != r[:-1]) | (f[1:] != f[:-1])]) if len(r) else np.empty(0, bool)
-        first = np.flatnonzero(new)
+        r, f, doc, at = r[order], f[order], doc[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (f[1:] != f[:-1])]))
         members = np.empty(len(r), MEMBER)
-        members["doc"], members["pos"] = doc, pos
-        offsets = np.append(first, len(r)).astype(np.int64) * MEMBER.itemsize
-        packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(members.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(r[first]), pa.array(f[first]), pa.array(np.diff(np.append(first, len(r))).astype(np.int32)), packed], names=["r", "f", "n", "members"])
+        members["doc"], members["start"] = doc, at
+        ends = np.append(first, len(r))
+        packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * MEMBER.itemsize).astype(np.int32).tobytes()), pa.py_buffer(members.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(r[first]), pa.array(f[first]), pa.array(np.diff(ends).astype(np.int32)), packed], names=["r", "f", "n", "members"])
 
     return map_batches(docs, ["doc_id", "text"], fn, "r long, f long, n int, members binary")
 
 
-MEMBER = np.dtype([("doc", "<i8"), ("pos", "<i4")])
-
-
 def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (r, f). Gives (doc_id, pos, r): every anchor that is repeated in full with r null, and, where a
-    core has different surroundings, one anchor of each with its r. Nothing of a core is held but its last surrounding."""
-    schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("r", pa.int64())])
-    held = None  # (r, f, packed first row, whether rows of this f were given already)
-    split = False  # whether this r has shown another f; then the held f's anchor is given too
+    """Rows come sorted by (r, f). Gives (doc_id, start, r): every range that is repeated in full with r null, and, where a
+    core has different sides, one range of each with its r. Nothing of a core is held but its last sides."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("r", pa.int64())])
+    held = None  # [r, f, packed first row, whether rows of this f were given already]
+    split = False  # whether this r has shown another f; then the held f's range is given too
 
     def edge(row) -> tuple[int, int, int]:
         m = np.frombuffer(row[2], MEMBER, 1)[0]
-        return int(m["doc"]), int(m["pos"]), row[0]
+        return int(m["doc"]), int(m["start"]), row[0]
 
     for batch in batches:
         full, edges = [], []
@@ -133,9 +145,8 @@ def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lone[:-1] &= r[:-1] != r[1:]
         if len(r):
             lone[[0, -1]] = False
-        todo = np.flatnonzero(~lone | (n > 1))
         members = batch.column(3)
-        for k in todo.tolist():
+        for k in np.flatnonzero(~lone | (n > 1)).tolist():
             key, own = int(r[k]), int(f[k])
             data = members[k].as_py()
             if held is None or held[0] != key:
@@ -157,71 +168,95 @@ def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[3] = True
         if full or edges:
             m = np.frombuffer(b"".join(full), MEMBER)
-            doc, pos = np.concatenate([m["doc"], [e[0] for e in edges]]).astype(np.int64), np.concatenate([m["pos"], [e[1] for e in edges]]).astype(np.int32)
-            at = pa.array([None] * len(m) + [e[2] for e in edges], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos), at], schema=schema)
-
-
-def repeats(texts: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
-    """(doc_id, first, last) starts of repeated strings in surroundings (doc_id, pos, bytes before pos, data), by their suffix order."""
-    data = np.frombuffer(b"".join(t[3] for t in texts), np.uint8)
-    sizes = np.array([len(t[3]) for t in texts], np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    # a mark of its own value ends each text, below all bytes
-    joined = np.zeros(len(data) + len(texts), np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(data)) + owner
-    joined[place] = data.astype(np.int64) + 1
-    begin = first + np.arange(len(texts))
+            doc = np.concatenate([m["doc"], np.array([e[0] for e in edges], np.int64)])
+            start = np.concatenate([m["start"], np.array([e[1] for e in edges], np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array([None] * len(m) + [e[2] for e in edges], pa.int64())], schema=schema)
+
+
+def repeats(rows: list[tuple]) -> list[tuple[int, int, int]]:
+    """(doc_id, first, last) starts of repeated strings among ranges (r, doc_id, start, left, right), by their suffix order.
+
+    A range's text is left, its core as one symbol, right; the string at its t-th start is the RANGE symbols from t on.
+    """
+    n = len(rows)
+    r = np.array([x[0] for x in rows], np.int64)
+    lefts, rights = np.array([len(x[3]) for x in rows], np.int64), np.array([len(x[4]) for x in rows], np.int64)
+    sizes = lefts + rights + 2  # the core and an end mark below all bytes
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    owner = np.repeat(np.arange(n), sizes)
+    joined = np.zeros(int(sizes.sum()), np.int64)
+    raw = np.frombuffer(b"".join(x[3] + b"\0" + x[4] + b"\0" for x in rows), np.uint8)
+    joined[:] = raw.astype(np.int64) + 1
+    _, core = np.unique(r, return_inverse=True)
+    joined[begin + lefts] = 257 + core
+    joined[begin + sizes - 1] = 0
     order = suffix_array(joined)
-    text_of = np.empty(len(joined), np.int64)
-    text_of[place] = owner
-    text_of[begin + sizes] = np.arange(len(texts))
-    own = text_of[order]
-    inside = order - begin[own] + LENGTH <= sizes[own]
-    starts, own = order[inside], own[inside]
-    if not len(starts):
+    own = owner[order]
+    place = order - begin[own]
+    inside = (place <= lefts[own]) & (place + RANGE <= sizes[own] - 1)
+    order, own, place = order[inside], own[inside], place[inside]
+    if not len(order):
         return []
-    group = equal_prefixes(joined, starts, LENGTH)
-    doc = np.array([t[0] for t in texts], np.int64)[own]
-    at = np.array([t[1] - t[2] for t in texts], np.int64)[own] + starts - begin[own]
-    order = np.lexsort([at, doc, group])
-    g, d, a = group[order], doc[order], at[order]
+    g = equal_prefixes(joined, order, RANGE)
+    doc = np.array([x[1] for x in rows], np.int64)[own]
+    at = np.array([x[2] for x in rows], np.int64)[own] + SIDE - lefts[own] + place
+    order = np.lexsort([at, doc, g])
+    g, d, a = g[order], doc[order], at[order]
     new = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1])])
     g, d, a = g[new], d[new], a[new]  # one row for each place of a string
     _, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
     hit = count[inverse] > 1
     d, a = d[hit], a[hit]
-    order = np.lexsort([a, d])
-    d, a = d[order], a[order]
     if not len(d):
         return []
-    new = np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] > a[:-1] + 1)])
-    at = np.flatnonzero(new)
+    order = np.lexsort([a, d])
+    d, a = d[order], a[order]
+    at = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] > a[:-1] + 1)]))
     last = np.append(at[1:], len(d)) - 1
     return list(zip(d[at].tolist(), a[at].tolist(), a[last].tolist()))
 
 
-SPANS = "doc_id long, first int, last int, w long"
+def divided(rows: list[tuple]) -> pa.RecordBatch:
+    """Ranges (r, doc_id, start, left, right) as ranges of STEP starts: first and last start, hash of the common part, hash of all of it, hash of each string."""
+    doc, first, last, core, whole, strings = [], [], [], [], [], []
+    for r, i, start, left, right in rows:
+        a, b = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
+        before, after = Prefix(a), Prefix(b)
+        gone = SIDE - len(a)  # starts before the text
+        t = np.arange(gone, min(SIDE, len(b)) + 1)
+        zero = np.zeros(len(t), np.int64)
+        key = _U(r & 0xFFFFFFFFFFFFFFFF)
+
+        def pair(low: np.ndarray, high: np.ndarray, salt: int) -> np.ndarray:
+            h = before.span(low - gone, zero[: len(low)] + len(a)) * _U(0xD1B54A32D192ED03)
+            return mix((h ^ after.span(zero[: len(low)], high)) * _U(0xC2B2AE3D27D4EB4F) + key + low.astype(np.uint64) * _U(salt))
+
+        w = pair(t, t, 0x9FB21C651E98DF25).view(np.int64)
+        for at in range(t[0] - t[0] % STEP if len(t) else RANGE, min(SIDE, len(b)) + 1, STEP):
+            inside = (t >= at) & (t < at + STEP)
+            lo, hi = t[inside][:1], t[inside][-1:]
+            doc.append(i)
+            first.append(start + int(lo[0]))
+            last.append(start + int(hi[0]))
+            edge = np.array([at])  # the core is that of all STEP starts, also where some lie outside the text
+            core.append(int(pair(edge + STEP - 1, edge, 0x27D4EB2F165667C5).view(np.int64)[0]))
+            whole.append(int(pair(lo, hi, 0x165667B19E3779F9).view(np.int64)[0]))
+            strings.append(w[inside])
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([doc, first, last, core, whole, strings], kinds)], names=SPAN_NAMES)
+
 
+SPAN_NAMES = ["doc_id", "first", "last", "core", "whole", "strings"]
+SPANS = "doc_id long, first int, last int, core long, whole long, strings array<long>"
 
-def sort_classes(hot: int = HOT, sort_bytes: int = SORT_BYTES):
-    """Rows (r, doc_id, pos, before, data) come sorted by r. Gives spans of repeated starts; a hot core's strings come as (start, start, hash)."""
+
+def sort_classes(hot: int = HOT, sort_symbols: int = SORT_SYMBOLS):
+    """Rows (r, doc_id, start, left, right) come sorted by r. Gives spans of repeated starts (core null); a hot core's ranges come divided."""
 
     def spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
         doc, a, b = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.nulls(len(doc), pa.int64())], names=["doc_id", "first", "last", "w"])
-
-    def strings(rows: list[tuple]) -> pa.RecordBatch:
-        doc, at, w = [], [], []
-        for _, i, pos, before, data in rows:
-            arr = np.frombuffer(data, np.uint8)
-            s = np.arange(min(before + 1, max(0, len(arr) - LENGTH + 1)))
-            w.append(Prefix(arr).span(s, s + LENGTH).view(np.int64))
-            at.append(s + pos - before)
-            doc.append(np.full(len(s), i, np.int64))
-        at = pa.array(np.concatenate(at).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), at, at, pa.array(np.concatenate(w))], names=["doc_id", "first", "last", "w"])
+        n = len(doc)
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], names=SPAN_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []
@@ -230,14 +265,14 @@ def sort_classes(hot: int = HOT, sort_bytes: int = SORT_BYTES):
 
         def close() -> None:
             nonlocal size
-            if not is_hot and len(group) > 1:
+            if len(group) > 1:
                 ready.extend(group)
-                size += sum(len(x[4]) for x in group)
+                size += len(group) * 2 * RANGE
             group.clear()
 
         def sort() -> Iterator[pa.RecordBatch]:
             nonlocal size
-            if ready and (found := repeats([x[1:] for x in ready])):
+            if ready and (found := repeats(ready)):
                 yield spans(found)
             ready.clear()
             size = 0
@@ -246,19 +281,19 @@ def sort_classes(hot: int = HOT, sort_bytes: int = SORT_BYTES):
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if row[0] != key:
                     if is_hot and group:
-                        yield strings(group)
+                        yield divided(group)
                         group.clear()
                     close()
                     key, is_hot = row[0], False
-                    if size >= sort_bytes:
+                    if size >= sort_symbols:
                         yield from sort()
                 group.append(row)
                 if len(group) >= hot:
                     is_hot = True
-                    yield strings(group)
+                    yield divided(group)
                     group.clear()
         if is_hot and group:
-            yield strings(group)
+            yield divided(group)
             group.clear()
         close()
         yield from sort()
@@ -266,35 +301,42 @@ def sort_classes(hot: int = HOT, sort_bytes: int = SORT_BYTES):
     return run
 
 
-def surroundings(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(r, doc_id, pos, before, data) of the anchors in edges (doc_id, pos, r), cut from their documents."""
-    wanted = edges.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "r")).alias("at")).withColumnRenamed("doc_id", "own")
+def sides(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(r, doc_id, start, left, right) of the ranges in edges (doc_id, start, r), cut from their documents."""
+    wanted = edges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "r")).alias("at")).withColumnRenamed("doc_id", "own")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
         for i, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             raw = text.encode()
             for x in at:
-                low = max(0, x["pos"] - BEFORE)
-                out.append((x["r"], i, x["pos"], x["pos"] - low, raw[low : x["pos"] + LENGTH]))
+                s = x["start"]
+                out.append((x["r"], i, s, raw[max(0, s) : s + SIDE], raw[s + LENGTH : s + LENGTH + SIDE]))
         cols = list(zip(*out)) if out else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])], names=["r", "doc_id", "pos", "before", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])], names=["r", "doc_id", "start", "left", "right"])
 
     joined = docs.join(wanted.hint("shuffle_hash"), docs.doc_id == wanted.own)
-    return map_batches(joined, ["doc_id", "text", "at"], fn, "r long, doc_id long, pos int, before int, data binary")
+    return map_batches(joined, ["doc_id", "text", "at"], fn, "r long, doc_id long, start int, left binary, right binary")
 
 
-def repeated_starts(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last): ranges of positions at which a repeated string of LENGTH bytes starts (ranges may overlap)."""
-    rows = anchor_rows(docs).repartition("r").sortWithinPartitions("r", "f").mapInArrow(classes, "doc_id long, pos int, r long")
+def repeated_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, first, last): ranges of positions at which a repeated string of LENGTH bytes starts (ranges may overlap and pass a text's ends)."""
+    rows = range_rows(docs).repartition("r").sortWithinPartitions("r", "f").mapInArrow(classes, "doc_id long, start int, r long")
     found = cut(rows, "suffix-classes")
-    full = found.filter("r is null").select("doc_id", F.greatest(F.col("pos") - BEFORE, F.lit(0)).alias("first"), F.col("pos").alias("last"))
-    edges = found.filter("r is not null")
-    near = surroundings(docs, edges).repartition("r").sortWithinPartitions("r").mapInArrow(sort_classes(), SPANS)
+    full = found.filter("r is null").select("doc_id", F.greatest("start", F.lit(0)).alias("first"), (F.col("start") + SIDE).alias("last"))
+    near = sides(docs, found.filter("r is not null")).repartition("r").sortWithinPartitions("r").mapInArrow(sort_classes(hot), SPANS)
     near = cut(near, "suffix-spans")
-    hot = near.filter("w is not null").select("doc_id", "first", "w").distinct()
-    twice = hot.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    return full.union(near.filter("w is null").select("doc_id", "first", "last")).union(hot.join(twice, "w", "left_semi").select("doc_id", "first", F.col("first").alias("last")))
+    small = near.filter("core is not null")
+    counts = small.groupBy("core", "whole").agg(F.count("*").alias("same"))
+    kinds = counts.groupBy("core").agg(F.count("*").alias("kinds"))
+    judged = small.join(counts, ["core", "whole"]).join(kinds, "core").filter("same > 1 or kinds > 1")
+    single = judged.filter("same = 1").select("doc_id", F.posexplode("strings").alias("k", "w"), "first").select("doc_id", (F.col("first") + F.col("k")).alias("first"), "w")
+    others = judged.filter("kinds > 1").select(F.explode("strings").alias("w")).groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
+    return (
+        full.union(near.filter("core is null").select("doc_id", "first", "last"))
+        .union(judged.filter("same > 1").select("doc_id", "first", "last"))
+        .union(single.join(others, "w", "left_semi").select("doc_id", "first", F.col("first").alias("last")))
+    )
 
 
 def span_arrays(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -353,100 +395,6 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(got, kinds)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    return map_batches(joined, ["doc_id", "text", "at"], fn, "r long, doc_id long, pos int, before int, data binary")
-
-
-def repeated_starts(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last): ranges of positions at which a repeated string of LENGTH bytes starts (ranges may overlap)."""
-    rows = anchor_rows(docs).repartition("r").sortWithinPartitions("r", "f").mapInArrow(classes, "doc_id long, pos int, r long")
-    found = cut(rows, "suffix-classes")
-    full = found.filter("r is null").select("doc_id", F.greatest(F.col("pos") - BEFORE, F.lit(0)).alias("first"), F.col("pos").alias("last"))
-    edges = found.filter("r is not null")
-    near = surroundings(docs, edges).repartition("r").sortWithinPartitions("r").mapInArrow(sort_classes(), SPANS)
-    near = cut(near, "suffix-spans")
-    hot = near.filter("w is not null").select("doc_id", "first", "w").distinct()
-    twice = hot.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    return full.union(near.filter("w is null").select("doc_id", "first", "last")).union(hot.join(twice, "w", "left_semi").select("doc_id", "first", F.col("first").alias("last")))
-
-
-def span_arrays(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(first, last) arrays of each row of an array<struct<first, last>> column; a null row has none."""
-    flat = column.flatten()
-    first, last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
-    used = 0
-    for n in column.value_lengths().fill_null(0).to_pylist():
-        yield first[used : used + n], last[used : used + n]
-        used += n
-
-
-def remove_spans(raw: bytes, first: np.ndarray, last: np.ndarray) -> tuple[int, int, int, list[int], bytes]:
-    """(n_bytes, n_removed, n_spans, [start, end, ...], kept) once the strings that start in first..last are taken out."""
-    n = len(raw)
-    if not len(first):
-        return n, 0, 0, [], raw
-    last = np.minimum(last, n - LENGTH)
-    ok = last >= first
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, first[ok], 1)
-    np.add.at(step, last[ok] + LENGTH, -1)
-    gone = np.cumsum(step)[:n] > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-    return n, int(gone.sum()), len(edge) // 2, edge.tolist(), np.frombuffer(raw, np.uint8)[~gone].tobytes()
-
-
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """docs, all columns as they are, with repeated strings cut out of text. A character whose bytes were cut apart goes as a whole."""
-    spans = repeated_starts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("at")).select(F.col("doc_id").alias("_spans_of"), F.col("at").alias("_spans_at"))
-    names, at = docs.columns, docs.columns.index("text")
-    joined = docs.join(spans.hint("shuffle_hash"), docs["doc_id"] == spans["_spans_of"], "left").drop("_spans_of")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [
-                text if text is None or not len(span[0]) else remove_spans(text.encode(), *span)[4].decode("utf-8", "ignore")
-                for text, span in zip(batch.column(at).to_pylist(), span_arrays(batch.column(len(names))))
-            ]
-            columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return joined.mapInArrow(run, docs.schema)
-
-
-def cut_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, spans, kept): spans as [start, end) pairs in bytes, kept as the bytes that remain."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_starts(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("at")).withColumnRenamed("doc_id", "own")
-    joined = docs.join(spans.hint("shuffle_hash"), docs.doc_id == spans.own, "left")
-
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_bytes, n_removed, runs, kept = [], [], [], []
-        at_column = batch.column(2)
-        flat = at_column.flatten()
-        first, last = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2)) if len(flat) else (np.empty(0), np.empty(0))
-        used = 0
-        for k, text in enumerate(batch.column(1).to_pylist()):
-            raw = (text or "").encode()
-            n = len(raw)
-            n_bytes.append(n)
-            m = len(at_column[k]) if at_column[k].is_valid else 0
-            a, b = first[used : used + m], np.minimum(last[used : used + m], n - LENGTH)
-            used += m
-            step = np.zeros(n + 1, np.int64)
-            ok = b >= a
-            np.add.at(step, a[ok].astype(np.int64), 1)
-            np.add.at(step, b[ok].astype(np.int64) + LENGTH, -1)
-            gone = np.cumsum(step) > 0
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], gone[:n], [False]]).astype(np.int8)))
-            runs.append(edge.tolist())
-            n_removed.append(int(gone[:n].sum()))
-            kept.append(np.frombuffer(raw, np.uint8)[~gone[:n]].tobytes() if n_removed[-1] else raw)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(r) // 2 for r in runs], pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"],
-        )
-
     return map_batches(joined, ["doc_id", "text", "at"], fn, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
 
 
