@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.functions import maps
 from quernel.functions import sql as sql_functions
 from quernel.functions import text as tx
 from quernel.operators import index as ix
@@ -270,6 +271,13 @@ def _russian_queries(passes):
     return run
 
 
+def _map_upsert(spark, sf_dir):
+    """Three stores, each with b set anew: what they hold then."""
+    rows = spark.createDataFrame([(1, {"c": 30}, 10), (2, {"b": 5}, 7), (3, {"a": 1, "b": 2, "c": 3}, 9)], "id int, m map<string,int>, b int")
+    new = rows.select("id", maps.upsert(F.col("m"), F.lit("b"), F.col("b")).alias("m"))
+    return new.select("id", F.size("m").alias("n"), _joined(F.transform(maps.entries(F.col("m")), lambda e: e["value"])).alias("vals"), F.coalesce(maps.find(F.col("m"), F.when(F.col("id") == 1, "c").otherwise("b")), F.lit(0)).alias("found"), maps.contains(F.col("m"), F.lit("c")).alias("has_c"), F.array_join(maps.keys(F.col("m")), ",").alias("names"))
+
+
 def _freq(spark, sf_dir):
     return stats.term_frequency(table(spark, sf_dir, "documents"))
 
@@ -450,6 +458,8 @@ def queries():
         "docs_per_source": lambda s, d: stats.docs_per_source(docs(s, d)),
         "count_of_source": lambda s, d: stats.count_of_source(docs(s, d), "src9"),
         "latest_docs": lambda s, d: stats.latest(table(s, d, "events"), "ts", 5, "event_id").select("event_id", "event_type"),
+        "upsert_last_wins": lambda s, d: maps.last_wins(table(s, d, "events").select("user_id", "event_type", "ts", "event_id"), "user_id", ["ts", "event_id"]).select("user_id", "event_type", "event_id"),
+        "map_upsert": _map_upsert,
         "zipf_tf": _freq,
         "zipf_tf_top30": lambda s, d: stats.top_frequencies(_freq(s, d), 30),
         "zipf_ranks": lambda s, d: stats.ranked(_freq(s, d)),
@@ -520,6 +530,8 @@ def oracle_sql():
         "docs_per_source": "SELECT source, count(*) AS n FROM documents GROUP BY source",
         "count_of_source": "SELECT count(*) AS n FROM documents WHERE source = 'src9'",
         "latest_docs": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 5",
+        "upsert_last_wins": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
+        "map_upsert": "SELECT * FROM (VALUES (1, 2, '10,30', 30, true, 'b,c'), (2, 1, '7', 7, false, 'b'), (3, 3, '1,9,3', 9, true, 'a,b,c')) v(id, n, vals, found, has_c, names)",
         "zipf_tf": f"{WORDS} SELECT term, freq FROM freq",
         "zipf_tf_top30": f"{WORDS} SELECT row_number() OVER (ORDER BY freq DESC, term) AS rank, term, freq AS frequency FROM freq ORDER BY freq DESC, term LIMIT 30",
         "zipf_ranks": f"{WORDS} SELECT term, freq, row_number() OVER (ORDER BY freq DESC, term) AS rank FROM freq",

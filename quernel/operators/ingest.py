@@ -25,6 +25,11 @@ def content_filter(docs: DataFrame, by_source: bool = False) -> DataFrame:
     return docs.filter((F.coalesce("title", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != "") & (F.length("text") >= least))
 
 
+def stamped(docs: DataFrame) -> DataFrame:
+    """docs with crawled_at, the time of this run as an ISO string."""
+    return docs.withColumn("crawled_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def first_per_url(docs: DataFrame, order: list[str]) -> DataFrame:
     """The first row of each URL in the given order; rows without a URL are one group."""
     row = F.row_number().over(Window.partitionBy("url").orderBy(*order))

@@ -51,6 +51,12 @@ def latest(corpus: DataFrame, by: str, n: int = 5, tie: str | None = None) -> Da
     return corpus.orderBy(F.desc(by), *([F.desc(tie)] if tie else [])).limit(n)
 
 
+def latest_with_text(corpus: DataFrame, n: int = 5) -> DataFrame:
+    """(source, title, chars, crawled_at) of the n documents crawled last, of those that have a text."""
+    rows = corpus.filter(F.coalesce("text", F.lit("")) != "").select("source", "title", F.length("text").alias("chars"), "crawled_at")
+    return latest(rows, "crawled_at", n, "title")
+
+
 def term_frequency(text: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, freq) of all words of at least two letters, unstemmed."""
     return text.select(F.explode(counted_words(text_col)).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))

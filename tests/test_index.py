@@ -151,3 +151,17 @@ def test_malformed_pages(spark):
     got = {r.page_id: r for r in pages.parsed(rows).collect()}
     assert got[1].paragraphs == ["a", "c", "d", "é"] and got[1].links == ["?q=1&r=2"]
     assert got[2].paragraphs == [] and got[3].title is None
+
+
+def test_keyed_store_of_many_keys(spark):
+    from quernel.functions import maps
+
+    rows = spark.range(20_000).select(F.concat(F.lit("key_"), (F.col("id") % 10_000)).alias("k"), "id")
+    store = maps.last_wins(rows, "k", ["id"])
+    assert store.count() == 10_000 and store.filter("k = 'key_7'").first().id == 10_007
+
+
+def test_latest_documents(spark):
+    rows = spark.createDataFrame([("a", "x", "t1", "2021"), ("b", "", "t2", "2025"), ("c", "yy", "t3", "2023")], "source string, text string, title string, crawled_at string")
+    assert [r.title for r in stats.latest_with_text(rows, 2).collect()] == ["t3", "t1"]
+    assert ingest.stamped(rows).first().crawled_at.startswith("20")
