@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -57,6 +58,32 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+#: Bytes of one Arrow batch between the JVM and Python, so that long texts don't add up in either.
+BATCH_BYTES = 4 << 20
+
+
+def _release() -> None:
+    """Give memory that a finished task freed back to the system: idle workers stay for the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of bounded bytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """fn over Arrow slices of at most `rows` rows of the named columns only; whatever else df holds is not read."""
 
@@ -67,7 +94,7 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch]
                 if out is not None:
                     yield out
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return in_arrow(df.select(*columns), run, schema)
 
 
 def filter_batches(df: DataFrame, text_col: str, keep: Callable[[list[str]], np.ndarray], rows: int = SLICE_ROWS) -> DataFrame:
@@ -80,7 +107,7 @@ def filter_batches(df: DataFrame, text_col: str, keep: Callable[[list[str]], np.
                 part = batch.slice(start, rows)
                 yield part.filter(pa.array(keep(texts_of(part.column(at))), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return in_arrow(df, run, df.schema)
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -133,7 +160,7 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
             if len(n):
                 yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(r)], names=["u", "v"])
 
-    e = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).filter("u <> v").mapInArrow(contract, "u long, v long").distinct()
+    e = in_arrow(edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).filter("u <> v"), contract, "u long, v long").distinct()
     e = cut(e, name)
     seen = None
     for _ in range(max_rounds):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import components, cut, documents, local_roots, map_batches, texts_of
+from quernel.llm.common import components, cut, documents, in_arrow, local_roots, map_batches, texts_of
 from quernel.llm.hashing import Prefix, mix
 
 SHINGLE, PERCENT = 3, 85
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     reps = whole.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     pair = F.flatten(F.transform(F.slice("bands", 1, TABLES), lambda x, i: F.transform(F.slice("bands", TABLES + 1, TABLES), lambda y, j: F.xxhash64(x, y, i, j))))
     keys = reps.select(F.explode(pair).alias("k"), F.col("rep").alias("node"))
-    edges = keys.repartition("k").sortWithinPartitions("k", "node").mapInArrow(hub_edges, "u long, v long").distinct()
+    edges = in_arrow(keys.repartition("k").sortWithinPartitions("k", "node"), hub_edges, "u long, v long").distinct()
     family = cut(components(edges, "near-families"), "near-family")
     sizes = whole.select(F.col("doc_id").alias("node"), "n_shingles")
     counted = family.join(sizes, "node").groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(block_shingles)).cast("int").alias("blocks"))
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     texts = docs.join(placed.hint("shuffle_hash"), docs.doc_id == placed.node)
     sets = map_batches(texts, ["component", "node", "blocks", "part", "text"], fn, "component long, node long, blocks int, part int, set binary")
     blocks = sets.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "part", "node", "set").select("component", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "set")
-    links = blocks.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q").mapInArrow(verify_blocks(percent), "u long, v long")
+    links = in_arrow(blocks.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q"), verify_blocks(percent), "u long, v long")
     found = components(links, "near-links")
     classes = reps.select("n_shingles", "d1", "d2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("c"))
     out = sig.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left")

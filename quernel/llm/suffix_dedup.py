@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import cut, documents, map_batches
+from quernel.llm.common import cut, documents, in_arrow, map_batches
 from quernel.llm.hashing import Prefix, mix
 from quernel.llm.suffixes import equal_prefixes, suffix_array
 
@@ -321,10 +321,10 @@ def sides(docs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def repeated_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, first, last): ranges of positions at which a repeated string of LENGTH bytes starts (ranges may overlap and pass a text's ends)."""
-    rows = range_rows(docs).repartition("r").sortWithinPartitions("r", "f").mapInArrow(classes, "doc_id long, start int, r long")
+    rows = in_arrow(range_rows(docs).repartition("r").sortWithinPartitions("r", "f"), classes, "doc_id long, start int, r long")
     found = cut(rows, "suffix-classes")
     full = found.filter("r is null").select("doc_id", F.greatest("start", F.lit(0)).alias("first"), (F.col("start") + SIDE).alias("last"))
-    near = sides(docs, found.filter("r is not null")).repartition("r").sortWithinPartitions("r").mapInArrow(sort_classes(hot), SPANS)
+    near = in_arrow(sides(docs, found.filter("r is not null")).repartition("r").sortWithinPartitions("r"), sort_classes(hot), SPANS)
     near = cut(near, "suffix-spans")
     small = near.filter("core is not null")
     counts = small.groupBy("core", "whole").agg(F.count("*").alias("same"))
@@ -381,7 +381,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return in_arrow(joined, run, docs.schema)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
