@@ -16,6 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quernel.llm.common import documents, map_batches, texts_of
 
@@ -152,7 +153,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             names=["doc_id", "n_bytes", "n_tokens", "n_shortcut", "over_limit"],
         )
 
-    return map_batches(docs.withColumnsRenamed({id_col: "doc_id", text_col: "text"}) if (id_col, text_col) != ("doc_id", "text") else docs, ["doc_id", "text"], fn, "doc_id long, n_bytes long, n_tokens long, n_shortcut long, over_limit boolean")
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], fn, "doc_id long, n_bytes long, n_tokens long, n_shortcut long, over_limit boolean")
 
 
 def op1_token_counts(spark, sf_dir):

@@ -6,7 +6,7 @@ coordinate has its own learning rate, and L1 keeps most weights at exactly zero,
 a short list of (slot, weight), at most SLOTS long.
 
 Defined cases: null or empty text has no feature and scores by the bias alone; with no training rows all
-scores are 0.5 and below the threshold's side 1; repeated rows give equal rows; columns other than those
+scores are 0.5 and predicted is 1; repeated rows give equal rows; columns other than those
 named are ignored.
 """
 
