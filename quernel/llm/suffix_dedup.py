@@ -13,8 +13,9 @@ Sorting every suffix of the corpus would shuffle many times its size, so the sor
    its cores and sorts their suffixes by difference cover: sampled triples are sorted and named, the names
    are sorted by recursion, the remaining suffixes are merged in. Neighbours in that order with an equal
    prefix, as long as a string, are repeats.
-4. A core with more than HOT different sides isn't gathered: its ranges are divided into ranges of STEP,
-   judged like the larger ones by counts with partial sums, and only at an edge string by string.
+4. A core with more than HOT different sides isn't gathered: each of its ranges is divided where it stands
+   into ranges of STEP, judged like the larger ones but by counts with partial sums, and only at an edge
+   string by string.
 
 Spans are then joined to their document, whose text is cut. Hashes are of 64 bits (core and sides both
 agree); the suffix order compares bytes.
@@ -39,7 +40,7 @@ from quernel.llm.suffixes import equal_prefixes, suffix_array
 
 LENGTH, GRAM, WINDOW, RANGE = 400, 16, 128, 64
 SIDE = RANGE - 1
-#: Different sides of one core that are gathered for one sort; symbols that one sort takes.
+#: Most different sides of one core that are gathered for one sort; symbols that one sort takes.
 HOT, SORT_SYMBOLS = 4000, 500_000
 #: Starts that are judged together in a core with more sides than that.
 STEP = 8
@@ -216,10 +217,10 @@ def repeats(rows: list[tuple]) -> list[tuple[int, int, int]]:
     return list(zip(d[at].tolist(), a[at].tolist(), a[last].tolist()))
 
 
-def divided(rows: list[tuple]) -> pa.RecordBatch:
+def divided(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Ranges (r, doc_id, start, left, right) as ranges of STEP starts: first and last start, hash of the common part, hash of all of it, hash of each string."""
     doc, first, last, core, whole, strings = [], [], [], [], [], []
-    for r, i, start, left, right in rows:
+    for r, i, start, left, right in zip(*[c.to_pylist() for c in batch.columns]):
         a, b = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
         before, after = Prefix(a), Prefix(b)
         gone = SIDE - len(a)  # starts before the text
@@ -243,67 +244,44 @@ def divided(rows: list[tuple]) -> pa.RecordBatch:
             whole.append(int(pair(lo, hi, 0x165667B19E3779F9).view(np.int64)[0]))
             strings.append(w[inside])
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([doc, first, last, core, whole, strings], kinds)], names=SPAN_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([doc, first, last, core, whole, strings], kinds)], names=PART_NAMES)
 
 
-SPAN_NAMES = ["doc_id", "first", "last", "core", "whole", "strings"]
-SPANS = "doc_id long, first int, last int, core long, whole long, strings array<long>"
+PART_NAMES = ["doc_id", "first", "last", "core", "whole", "strings"]
+PARTS = "doc_id long, first int, last int, core long, whole long, strings array<long>"
+SIDE_NAMES = ["r", "doc_id", "start", "left", "right"]
 
 
-def sort_classes(hot: int = HOT, sort_symbols: int = SORT_SYMBOLS):
-    """Rows (r, doc_id, start, left, right) come sorted by r. Gives spans of repeated starts (core null); a hot core's ranges come divided."""
+def spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    doc, a, b = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc_id", "first", "last"])
 
-    def spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        doc, a, b = zip(*rows)
-        n = len(doc)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], names=SPAN_NAMES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[tuple] = []
-        group: list[tuple] = []
-        size, key, is_hot = 0, None, False
-
-        def close() -> None:
-            nonlocal size
-            if len(group) > 1:
-                ready.extend(group)
-                size += len(group) * 2 * RANGE
-            group.clear()
-
-        def sort() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            if ready and (found := repeats(ready)):
-                yield spans(found)
-            ready.clear()
-            size = 0
-
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[0] != key:
-                    if is_hot and group:
-                        yield divided(group)
-                        group.clear()
-                    close()
-                    key, is_hot = row[0], False
-                    if size >= sort_symbols:
-                        yield from sort()
-                group.append(row)
-                if len(group) >= hot:
-                    is_hot = True
-                    yield divided(group)
-                    group.clear()
-        if is_hot and group:
-            yield divided(group)
-            group.clear()
-        close()
-        yield from sort()
-
-    return run
+def sort_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (r, doc_id, start, left, right) come sorted by r, at most HOT of one r. Gives spans of repeated starts; whole cores are sorted together."""
+    ready: list[tuple] = []
+    group: list[tuple] = []
+    key = None
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if row[0] != key:
+                if len(group) > 1:
+                    ready += group
+                key, group = row[0], []
+                if len(ready) * 2 * RANGE >= SORT_SYMBOLS:
+                    if found := repeats(ready):
+                        yield spans(found)
+                    ready = []
+            group.append(row)
+    if len(group) > 1:
+        ready += group
+    if ready and (found := repeats(ready)):
+        yield spans(found)
 
 
 def sides(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(r, doc_id, start, left, right) of the ranges in edges (doc_id, start, r), cut from their documents."""
-    wanted = edges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "r")).alias("at")).withColumnRenamed("doc_id", "own")
+    """(r, doc_id, start, left, right, many) of the ranges in edges (doc_id, start, r, many), cut from their documents."""
+    wanted = edges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "r", "many")).alias("at")).withColumnRenamed("doc_id", "own")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
@@ -311,12 +289,12 @@ def sides(docs: DataFrame, edges: DataFrame) -> DataFrame:
             raw = text.encode()
             for x in at:
                 s = x["start"]
-                out.append((x["r"], i, s, raw[max(0, s) : s + SIDE], raw[s + LENGTH : s + LENGTH + SIDE]))
-        cols = list(zip(*out)) if out else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])], names=["r", "doc_id", "start", "left", "right"])
+                out.append((x["r"], i, s, raw[max(0, s) : s + SIDE], raw[s + LENGTH : s + LENGTH + SIDE], x["many"]))
+        cols = list(zip(*out)) if out else [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()])], names=[*SIDE_NAMES, "many"])
 
     joined = docs.join(wanted.hint("shuffle_hash"), docs.doc_id == wanted.own)
-    return map_batches(joined, ["doc_id", "text", "at"], fn, "r long, doc_id long, start int, left binary, right binary")
+    return map_batches(joined, ["doc_id", "text", "at"], fn, "r long, doc_id long, start int, left binary, right binary, many boolean")
 
 
 def repeated_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -324,16 +302,19 @@ def repeated_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     rows = in_arrow(range_rows(docs).repartition("r").sortWithinPartitions("r", "f"), classes, "doc_id long, start int, r long")
     found = cut(rows, "suffix-classes")
     full = found.filter("r is null").select("doc_id", F.greatest("start", F.lit(0)).alias("first"), (F.col("start") + SIDE).alias("last"))
-    near = in_arrow(sides(docs, found.filter("r is not null")).repartition("r").sortWithinPartitions("r"), sort_classes(hot), SPANS)
-    near = cut(near, "suffix-spans")
-    small = near.filter("core is not null")
+    edges = found.filter("r is not null")
+    many = edges.groupBy("r").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("r", F.lit(True).alias("many"))
+    near = cut(sides(docs, edges.join(many, "r", "left")), "suffix-sides")
+    few = near.filter("many is null").select(*SIDE_NAMES).repartition("r").sortWithinPartitions("r")
+    sorted_few = in_arrow(few, sort_classes, "doc_id long, first int, last int")
+    small = cut(map_batches(near.filter("many"), SIDE_NAMES, divided, PARTS), "suffix-parts")
     counts = small.groupBy("core", "whole").agg(F.count("*").alias("same"))
     kinds = counts.groupBy("core").agg(F.count("*").alias("kinds"))
     judged = small.join(counts, ["core", "whole"]).join(kinds, "core").filter("same > 1 or kinds > 1")
     single = judged.filter("same = 1").select("doc_id", F.posexplode("strings").alias("k", "w"), "first").select("doc_id", (F.col("first") + F.col("k")).alias("first"), "w")
     others = judged.filter("kinds > 1").select(F.explode("strings").alias("w")).groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
     return (
-        full.union(near.filter("core is null").select("doc_id", "first", "last"))
+        full.union(sorted_few)
         .union(judged.filter("same > 1").select("doc_id", "first", "last"))
         .union(single.join(others, "w", "left_semi").select("doc_id", "first", F.col("first").alias("last")))
     )
