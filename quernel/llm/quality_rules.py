@@ -23,7 +23,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 #: Largest share of a text's word characters inside duplicated n-grams of each length.
 #: A short clean text that says one line twice stays below these.
-DUPLICATED = {5: 0.45, 6: 0.44, 7: 0.43, 8: 0.42, 9: 0.41, 10: 0.40}
+DUPLICATED = {5: 0.50, 6: 0.49, 7: 0.48, 8: 0.47, 9: 0.46, 10: 0.45}
 #: Largest share inside the most frequent n-gram of each length, where it occurs more than once.
 MOST_FREQUENT = {2: 0.20, 3: 0.18, 4: 0.16}
 #: Largest share of word characters in lines that repeat an earlier one, and of symbols among word characters.
