@@ -219,12 +219,13 @@ def _tokenize(spark, sf_dir):
 
 
 def _vocabulary(words: DataFrame) -> DataFrame:
-    return words.select("word").distinct().select("word", tx.stem("word").alias("stem"))
+    return tx.with_stem(words.select("word").distinct(), "word", "stem")
 
 
 def _stem_ru(spark, sf_dir):
     own = russian(spark).select(F.explode(tx.tokens(tx.joined_text("title", "text"))).alias("word"))
-    return _vocabulary(own.union(spark.createDataFrame([(w,) for w in MORE_WORDS], "word string")))
+    words = own.union(spark.createDataFrame([(w,) for w in MORE_WORDS], "word string")).distinct()
+    return words.select("word", tx.stem("word").alias("stem"))
 
 
 def _joined(ids):
@@ -232,13 +233,13 @@ def _joined(ids):
 
 
 def _postings_list(spark, sf_dir):
-    lists = ix.posting_lists(ix.build(corpus(spark, sf_dir)).pairs)
+    lists = ix.posting_lists(ix.build(corpus(spark, sf_dir)))
     return lists.select("term", _joined(F.col("doc_ids")).alias("doc_ids"), "df")
 
 
 def _two_lists(spark, sf_dir):
     built = ix.build(corpus(spark, sf_dir))
-    ids = lambda t: F.sort_array(F.collect_list(F.when(F.col("term") == t, F.col("doc_id"))))
+    ids = lambda t: F.sort_array(F.collect_set(F.when(F.col("term") == t, F.col("doc_id"))))
     return built.lookup(["the", "que"]).agg(ids("the").alias("a"), ids("que").alias("b")), built.docs.agg(F.count("*").alias("n"))
 
 
@@ -435,9 +436,9 @@ def queries():
         "stem_vocab_en": lambda s, d: _vocabulary(docs(s, d).select(F.explode(tx.tokens("text")).alias("word"))),
         "stem_vocab_ru": _stem_ru,
         "sql_functions": _sql_functions,
-        "postings_exploded": lambda s, d: built(s, d).pairs,
+        "postings_exploded": lambda s, d: built(s, d).pairs(),
         "postings_list": _postings_list,
-        "doc_freq_top20": lambda s, d: ix.top_terms(built(s, d).pairs, 20),
+        "doc_freq_top20": lambda s, d: ix.top_terms(built(s, d), 20),
         "document_lookup": lambda s, d: built(s, d).docs.filter("doc_id = 17").select("doc_id", "category", "source"),
         "term_lookup": lambda s, d: search.term_lookup(built(s, d), "The"),
         "posting_intersect_array": _intersect,

@@ -111,7 +111,7 @@ def main(argv: list[str] | None = None, stdin: Iterable[str] | None = None) -> i
         except Exception as e:
             print(f"no index: {str(e).splitlines()[0]}", file=sys.stderr)
             return 1
-        index = ix.Index(index.docs.cache(), index.pairs, index.postings.cache())
+        index = ix.Index(index.docs.cache(), index.occurrences, index.postings.cache())
         if index.docs.isEmpty():
             print("the index is empty", file=sys.stderr)
             return 1

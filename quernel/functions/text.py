@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = "[A-Za-zА-Яа-яЁё]+"
@@ -52,7 +52,8 @@ def _drop(w: Column, n: int) -> Column:
 
 
 def is_russian(w: Column) -> Column:
-    return w.rlike("^[а-яё]")
+    """By the first letter alone; a comparison of bytes, as every word passes here."""
+    return ((w >= "а") & (w < "ѐ")) | F.startswith(w, F.lit("ё"))
 
 
 def _longest_first(w: Column, endings: list[str], fits: Callable[[Column, int], Column]) -> Column:
@@ -87,7 +88,8 @@ def _past(w: Column) -> Column:
 
 
 def _undouble(w: Column) -> Column:
-    twice = w.rlike("([a-z])\\1 $")
+    last = F.substring(w, -2, 1)
+    twice = _ends(w, " ") & (F.length(w) > 2) & last.between("a", "z") & (last == F.substring(w, -3, 1))
     return F.when(twice, _drop(w, 2)).when(_ends(w, " "), _drop(w, 1)).otherwise(w)
 
 
@@ -111,6 +113,18 @@ def stems(words: Column | str) -> Column:
     return F.transform(marked, lambda p: p["w"])
 
 
+def with_stem(words: DataFrame, word: str, name: str) -> DataFrame:
+    """words with a column of stems: the same steps as stems(), as projections over rows, which are compiled to one loop.
+
+    Each step stays a projection of its own, as it uses the one before more than once. The one-element explode at
+    the end keeps a later filter on the stem above them: pushed below, it would repeat every step in the next.
+    """
+    out = words.withColumn("_english", _long_enough(F.col(word))).withColumn(name, _plural(F.col(word)))
+    for step in (_past, _undouble, _last_y, _suffix):
+        out = out.withColumn(name, F.when(F.col("_english"), step(F.col(name))).otherwise(F.col(name)))
+    return out.select(*[c for c in words.columns if c != name], F.explode(F.array(name)).alias(name))
+
+
 def stem(word: Column | str) -> Column:
     """The stem of one lower-case word."""
     return F.element_at(stems(F.array(_text(word))), 1)

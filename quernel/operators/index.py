@@ -7,25 +7,30 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions.text import joined_text, terms
+from quernel.functions.text import joined_text, tokens, with_stem
+from quernel.sources.layout import spread
 
 
 @dataclass(frozen=True)
 class Index:
-    """docs(doc_id, title, url, category, source) and pairs(term, doc_id), each pair once.
+    """docs(doc_id, title, url, category, source) and occurrences(term, doc_id).
 
-    postings is set where the index was read from disk: (term, doc_ids, df), ordered by term.
+    An occurrence is a different word of a document, so a pair comes again where two words share a stem;
+    pairs() has each once. postings is set where the index was read from disk: (term, doc_ids, df), by term.
     """
 
     docs: DataFrame
-    pairs: DataFrame
+    occurrences: DataFrame
     postings: DataFrame | None = None
 
+    def pairs(self) -> DataFrame:
+        return self.occurrences if self.postings is not None else self.occurrences.distinct()
+
     def lookup(self, stems: list[str]) -> DataFrame:
-        """(term, doc_id) of the given terms; the filter reaches the scan of a stored index."""
+        """Occurrences of the given terms; the filter reaches the scan of a stored index."""
         if self.postings is not None:
             return self.postings.filter(F.col("term").isin(stems)).select("term", F.explode("doc_ids").alias("doc_id"))
-        return self.pairs.filter(F.col("term").isin(stems))
+        return self.occurrences.filter(F.col("term").isin(stems))
 
 
 FORWARD = ["title", "url", "category", "source"]
@@ -38,26 +43,32 @@ def accepted(corpus: DataFrame) -> DataFrame:
 
 
 def build(corpus: DataFrame) -> Index:
-    """corpus: doc_id, title, text, and what there is of url, category, source. Terms are distinct per document before any shuffle."""
+    """corpus: doc_id, title, text, and what there is of url, category, source. Words are distinct per document before any shuffle."""
     corpus = accepted(corpus)
     have = set(corpus.columns)
     docs = corpus.select("doc_id", *[(F.coalesce(c, F.lit("")) if c in have else F.lit("")).alias(c) for c in FORWARD])
-    pairs = corpus.select("doc_id", F.explode(terms(joined_text("title", "text"))).alias("term")).select("term", "doc_id")
-    return Index(docs, pairs)
+    words = spread(corpus).select("doc_id", F.explode(F.array_distinct(tokens(joined_text("title", "text")))).alias("word"))
+    return Index(docs, with_stem(words, "word", "term").select("term", "doc_id"))
 
 
-def posting_lists(pairs: DataFrame) -> DataFrame:
-    """(term, doc_ids ascending, df); one shuffle, on term."""
-    return pairs.groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"), F.count("*").alias("df"))
+def posting_lists(index: Index) -> DataFrame:
+    """(term, doc_ids ascending, df); one shuffle, on term, in which repeated occurrences fall together."""
+    if index.postings is not None:
+        return index.postings
+    lists = index.occurrences.groupBy("term").agg(F.array_distinct(F.sort_array(F.collect_list("doc_id"))).alias("doc_ids"))
+    return lists.select("term", "doc_ids", F.size("doc_ids").cast("long").alias("df"))
 
 
-def document_frequency(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("term").agg(F.count("*").alias("df"))
+def document_frequency(index: Index) -> DataFrame:
+    """(term, df) by counts alone; no list of documents is built."""
+    if index.postings is not None:
+        return index.postings.select("term", "df")
+    return index.pairs().groupBy("term").agg(F.count("*").alias("df"))
 
 
-def top_terms(pairs: DataFrame, n: int = 20) -> DataFrame:
+def top_terms(index: Index, n: int = 20) -> DataFrame:
     """The n terms in most documents; ties in term order."""
-    return document_frequency(pairs).orderBy(F.desc("df"), "term").limit(n)
+    return document_frequency(index).orderBy(F.desc("df"), "term").limit(n)
 
 
 def intersect(a: Column, b: Column) -> Column:

@@ -42,7 +42,7 @@ def term_lookup(index: Index, word: str) -> DataFrame:
     from quernel.functions.local_text import stem, tokens
 
     words = tokens(word)
-    return index.lookup([stem(words[0])] if words else []).select("doc_id")
+    return index.lookup([stem(words[0])] if words else []).select("doc_id").distinct()
 
 
 def total(hits: DataFrame) -> DataFrame:

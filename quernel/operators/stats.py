@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.text import counted_words
+from quernel.sources.layout import spread
 
 MIB = 1024 * 1024
 
@@ -59,7 +60,7 @@ def latest_with_text(corpus: DataFrame, n: int = 5) -> DataFrame:
 
 def term_frequency(text: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, freq) of all words of at least two letters, unstemmed."""
-    return text.select(F.explode(counted_words(text_col)).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
+    return spread(text).select(F.explode(counted_words(text_col)).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
 
 
 def top_frequencies(freq: DataFrame, n: int = 30) -> DataFrame:

@@ -12,8 +12,7 @@ FORMAT, VERSION = "quernel-index", 1
 
 def save(index: Index, path: str) -> None:
     """Range-partitioned and sorted by term, so that a filter on terms skips files and row groups."""
-    lists = index.postings if index.postings is not None else posting_lists(index.pairs)
-    lists.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    posting_lists(index).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
     spark = index.docs.sparkSession
     n_docs, n_terms = spark.read.parquet(f"{path}/docs").count(), spark.read.parquet(f"{path}/postings").count()

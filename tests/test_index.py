@@ -36,7 +36,7 @@ def test_build_search_save_load(spark, corpus_file, tmp_path):
         assert ids(search.term_lookup(index, "19")) == []
         assert ids(search.search(index, "!world")) == [1]
         assert ids(search.search(index, "")) == []
-    lists = {r.term: (r.doc_ids, r.df) for r in ix.posting_lists(built.pairs).collect()}
+    lists = {r.term: (r.doc_ids, r.df) for r in ix.posting_lists(built).collect()}
     assert lists["hello"] == ([0, 1], 2) and lists["world"] == ([0], 1)
 
 
@@ -76,7 +76,24 @@ def test_limit_and_pages(spark):
 def test_one_shuffle_per_query(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", F.lit("").alias("title"), "text")
     plan = search.search(ix.build(docs), "the && (und || que) && !les")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Python" not in plan
+
+
+def test_small_inputs_only_are_spread(spark):
+    from quernel.sources.layout import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == cores
+    many = spark.range(0, 100, 1, cores + 3)
+    assert spread(many) is many
+
+
+def test_words_of_one_stem(spark):
+    docs = spark.createDataFrame([(0, "", "run runs running"), (1, "", "runs")], "doc_id long, title string, text string")
+    index = ix.build(docs)
+    assert [(r.term, r.doc_ids, r.df) for r in ix.posting_lists(index).collect()] == [("run", [0, 1], 2)]
+    assert index.pairs().count() == 2 and ix.top_terms(index).first() == ("run", 2)
+    assert ids(search.term_lookup(index, "running")) == [0, 1]
 
 
 def test_corpus_files(spark, corpus_file, tmp_path):
