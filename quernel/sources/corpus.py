@@ -12,18 +12,16 @@ SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("source", "url
 
 
 def numbered(df: DataFrame, name: str = "doc_id") -> DataFrame:
-    """df with dense numbers from 0 in the order of its rows; no shuffle, one count per partition on the driver.
+    """df with dense numbers from 0 in the order of its rows; no shuffle of df, one row per partition is counted and broadcast.
 
     The input's order has to be the same each time it is read, as that of files is.
     """
-    marked = df.withColumn("_row", F.monotonically_increasing_id())
-    counts = dict(marked.groupBy(F.shiftright("_row", 33).cast("int").alias("p")).count().collect())
-    if not counts:
-        return df.select(F.lit(0).cast("long").alias(name), "*")
-    sizes = [counts.get(p, 0) for p in range(max(counts) + 1)]
-    starts = F.array(*[F.lit(s).cast("long") for s in accumulate([0, *sizes[:-1]])])
-    place = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + F.element_at(starts, F.shiftright("_row", 33).cast("int") + 1)
-    return marked.select(place.alias(name), *df.columns)
+    marked = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33).cast("int"))
+    counts = sorted(marked.groupBy("_part").count().collect())
+    starts = list(zip([p for p, _ in counts], accumulate([0, *[n for _, n in counts[:-1]]])))
+    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    place = F.col("_start") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    return marked.join(F.broadcast(offsets), "_part").select(place.alias(name), *df.columns)
 
 
 def read_ndjson(spark: SparkSession, path: str, numbers: bool = True) -> DataFrame:

@@ -182,3 +182,14 @@ def test_latest_documents(spark):
     rows = spark.createDataFrame([("a", "x", "t1", "2021"), ("b", "", "t2", "2025"), ("c", "yy", "t3", "2023")], "source string, text string, title string, crawled_at string")
     assert [r.title for r in stats.latest_with_text(rows, 2).collect()] == ["t3", "t1"]
     assert ingest.stamped(rows).first().crawled_at.startswith("20")
+
+
+def test_counts_of_the_smallest_tables(spark, tiny):
+    """Counts known beforehand for these tables."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", F.lit("").alias("title"), "text")
+    index = ix.build(docs)
+    assert ix.document_frequency(index).agg(F.count("*"), F.sum("df")).first() == (17_211, 45_472)
+    assert [tuple(r) for r in ix.top_terms(index, 5).collect()] == [("in", 136), ("en", 126), ("the", 124), ("and", 116), ("to", 115)]
+    known = {"the": 124, "!the": 76, "the && que": 2, "und || que": 65, "!the && (und || que)": 60, "(the || und) && les": 1, "and && !with": 33, "keit && !the": 24, "nder tion": 17, "the, que": 124}
+    got = {r.qid: r.total for r in search.batch_totals(index, {q: q for q in known}).collect()}
+    assert got == known
