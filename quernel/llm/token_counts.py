@@ -2,7 +2,7 @@
 
 Offline, on the driver, prove_whole() runs the merge rules over every vocabulary string and keeps those
 that come out as one token. Counting then splits a text into pre-tokens; each one in the proved set
-counts as one token without merging, and only the rest goes through the merge rules.
+counts as one token without merging, and only the rest goes through the library's merges.
 
 Defined cases: null or empty text has 0 tokens; a special string inside a text is one token, as the
 library counts it by default; repeated rows give equal rows; columns other than the two named are ignored.
@@ -23,8 +23,6 @@ from quernel.llm.common import documents, map_batches, texts_of
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens whose counts a worker keeps; the table is emptied when full, so it bounds memory only.
 KEPT_COUNTS = 300_000
-#: Longer pre-tokens (in symbols) are merged by the library, whose merging isn't quadratic.
-LONG_PIECE = 200
 #: Texts with other characters are counted by the library as a whole: there Unicode tables of two versions may differ.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-ɏΑ-ΡΣ-ωЀ-џ‐-‧€一-鼀]*")
 
@@ -66,9 +64,6 @@ class Merger:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def pieces(self, text: str) -> list[str]:
-        return [self.symbols[b] for b in text.encode()]
-
 
 def prove_whole(path: str) -> frozenset[str]:
     """The vocabulary strings, as text, that the merge rules alone turn into exactly one token."""
@@ -95,16 +90,18 @@ class Counter(dict):
 
         import public_tokenizers
 
-        self.merger, self.whole = Merger(path), whole
+        self.whole, self.symbols = whole, byte_symbols()
         self.library = Tokenizer.from_file(path)
+        self.merges = self.library.model  # the merge rules alone, without the rest of the library's way to a text
         self.library.no_truncation()
         self.library.no_padding()
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.cut = regex.compile("|".join(map(regex.escape, self.merger.special)))
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.cut = regex.compile("|".join(map(regex.escape, special)))
 
     def __missing__(self, piece: str) -> int:
-        parts = self.merger.pieces(piece)
-        n = len(self.merger.merge(parts)) if len(parts) <= LONG_PIECE else len(self.library.encode(piece, add_special_tokens=False).ids)
+        symbols = self.symbols
+        n = len(self.merges.tokenize("".join([symbols[b] for b in piece.encode()])))
         if len(self) >= KEPT_COUNTS:
             self.clear()
         self[piece] = n
