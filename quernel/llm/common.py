@@ -58,6 +58,13 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, made from `name`."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 #: Bytes of one Arrow batch between the JVM and Python, so that long texts don't add up in either.
 BATCH_BYTES = 4 << 20
 

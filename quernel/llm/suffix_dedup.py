@@ -2,8 +2,8 @@
 
 Sorting every suffix of the corpus would shuffle many times its size, so the sort is dealt out first:
 
-1. Every start of a LENGTH-byte string has an anchor: the smallest 16-byte gram of the WINDOW grams from it
-   on, the first of equal ones. It depends on the string alone, so equal strings have it at the same
+1. Every start of a string of `length` bytes has an anchor: the smallest 16-byte gram of the WINDOW grams from
+   it on, the first of equal ones. It depends on the string alone, so equal strings have it at the same
    distance. Starts with one anchor, at distances of one range of RANGE, are handled together.
 2. The strings at such a range of starts share a core, the bytes that are in all of them. Ranges are dealt
    out by a hash of their core; one whose core is unique is done. Ranges equal in all of their bytes (core
@@ -17,16 +17,19 @@ Sorting every suffix of the corpus would shuffle many times its size, so the sor
    into ranges of STEP, judged like the larger ones but by counts with partial sums, and only at an edge
    string by string.
 
-Spans are then joined to their document, whose text is cut. Hashes are of 64 bits (core and sides both
-agree); the suffix order compares bytes.
+Spans are then joined to their document, whose text is cut. What 1, 2 and 4 call equal agrees in two 64-bit
+hashes (core and sides; core and string), so n ranges hold a wrong match with a probability below n * n / 2^128:
+3e-15 for the 10^12 ranges of some 50 TB of text. The suffix order compares bytes.
 
-Defined cases: null text is empty; texts shorter than LENGTH are kept whole; equal rows repeat each
-other; an empty table gives no row; columns other than doc_id and text are ignored. doc_id identifies a
-row; rows with a null id take no part and keep their text.
+Defined cases: null text is empty; texts shorter than a string are kept whole; equal rows repeat each
+other; an empty table gives no row; columns other than doc_id and text are ignored, whatever their names.
+doc_id identifies a row; a row without one takes part under a negative hash of its text. A text of any
+length is handled alone (some 40 bytes of memory for each of its bytes).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +37,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import cut, documents, in_arrow, map_batches
+from quernel.llm.common import cut, documents, forget, fresh, in_arrow, map_batches
 from quernel.llm.hashing import Prefix, mix
 from quernel.llm.suffixes import equal_prefixes, suffix_array
 
 LENGTH, GRAM, WINDOW, RANGE = 400, 16, 128, 64
 SIDE = RANGE - 1
+#: A passage: a maximal run covered by repeated strings of PASSAGE bytes that holds PASSAGE_WORDS words or more.
+#: 51 words with a blank after each are longer than 200 bytes from three letters a word on.
+PASSAGE, PASSAGE_WORDS = 200, 51
 #: Most different sides of one core that are gathered for one sort; symbols that one sort takes.
-HOT, SORT_SYMBOLS = 4000, 500_000
+HOT, SORT_SYMBOLS = 1000, 500_000
 #: Starts that are judged together in a core with more sides than that.
 STEP = 8
+#: Bits of a position beside a gram's hash: texts are below 2 GiB.
+PLACE_BITS = 32
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 _U = np.uint64
 
@@ -62,17 +71,17 @@ def grams(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(29))
 
 
-def ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ranges(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(starts, part): first start of each range of RANGE starts that share an anchor, and which range of its distances it is.
 
     Only ranges with at least one string inside the text; others of their starts may lie outside.
     """
     n = len(data)
-    strings = n - LENGTH + 1
+    strings = n - length + 1
     if strings < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    low = _U((1 << (24 if n < 1 << 24 else 36)) - 1)
-    least = grams(data) & ~low | np.arange(n - GRAM + 1, dtype=np.uint64)  # equal grams: the first
+    low = _U((1 << PLACE_BITS) - 1)
+    least = grams(data) & ~low | np.arange(n - GRAM + 1, dtype=np.uint64)  # equal hashes: the first, whatever its gram
     step = 1
     while step < WINDOW:
         least = np.minimum(least[:-step], least[step:])
@@ -93,7 +102,7 @@ def ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 MEMBER = np.dtype([("doc", "<i8"), ("start", "<i4")])
 
 
-def range_rows(docs: DataFrame) -> DataFrame:
+def range_rows(docs: DataFrame, length: int) -> DataFrame:
     """(r, f, n, members): core hash, hash of core and sides, and the ranges (doc_id, start as packed numbers) that have both, collapsed within a batch."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -102,12 +111,12 @@ def range_rows(docs: DataFrame) -> DataFrame:
             if i is None or text is None:
                 continue
             data = np.frombuffer(text.encode(), np.uint8)
-            start, part = ranges(data)
+            start, part = ranges(data, length)
             if not len(start):
                 continue
             sums = Prefix(data)
-            low, high = np.maximum(start, 0), np.minimum(start + LENGTH + SIDE, len(data))
-            r.append(mix(sums.span(start + SIDE, start + LENGTH) + part.astype(np.uint64)))
+            low, high = np.maximum(start, 0), np.minimum(start + length + SIDE, len(data))
+            r.append(mix(sums.span(start + SIDE, start + length) + part.astype(np.uint64)))
             f.append(mix(sums.span(low, high) ^ ((low - start).astype(np.uint64) * _U(0x9FB21C651E98DF25))))
             at.append(start)
             doc.append(np.full(len(start), i, np.int64))
@@ -279,17 +288,17 @@ def sort_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield spans(found)
 
 
-def sides(docs: DataFrame, edges: DataFrame) -> DataFrame:
+def sides(docs: DataFrame, edges: DataFrame, length: int) -> DataFrame:
     """(r, doc_id, start, left, right, many) of the ranges in edges (doc_id, start, r, many), cut from their documents."""
     wanted = edges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "r", "many")).alias("at")).withColumnRenamed("doc_id", "own")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
         for i, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            raw = text.encode()
+            raw = text.encode()  # never null: only ranges of texts are wanted
             for x in at:
                 s = x["start"]
-                out.append((x["r"], i, s, raw[max(0, s) : s + SIDE], raw[s + LENGTH : s + LENGTH + SIDE], x["many"]))
+                out.append((x["r"], i, s, raw[max(0, s) : s + SIDE], raw[s + length : s + length + SIDE], x["many"]))
         cols = list(zip(*out)) if out else [[]] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()])], names=[*SIDE_NAMES, "many"])
 
@@ -297,87 +306,150 @@ def sides(docs: DataFrame, edges: DataFrame) -> DataFrame:
     return map_batches(joined, ["doc_id", "text", "at"], fn, "r long, doc_id long, start int, left binary, right binary, many boolean")
 
 
-def repeated_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, first, last): ranges of positions at which a repeated string of LENGTH bytes starts (ranges may overlap and pass a text's ends)."""
-    rows = in_arrow(range_rows(docs).repartition("r").sortWithinPartitions("r", "f"), classes, "doc_id long, start int, r long")
+def repeated_starts(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """(doc_id, first, last): ranges of positions at which a repeated string of `length` bytes starts (ranges may overlap and pass a text's ends).
+
+    docs: doc_id (long, not null) and text. The rows are written; what they were made from is deleted.
+    """
+    if length < WINDOW + GRAM - 1:
+        raise ValueError(f"strings must have {WINDOW + GRAM - 1} bytes at least")
+    rows = in_arrow(range_rows(docs, length).repartition("r").sortWithinPartitions("r", "f"), classes, "doc_id long, start int, r long")
     found = cut(rows, "suffix-classes")
     full = found.filter("r is null").select("doc_id", F.greatest("start", F.lit(0)).alias("first"), (F.col("start") + SIDE).alias("last"))
     edges = found.filter("r is not null")
     many = edges.groupBy("r").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("r", F.lit(True).alias("many"))
-    near = cut(sides(docs, edges.join(many, "r", "left")), "suffix-sides")
+    near = cut(sides(docs, edges.join(many, "r", "left"), length), "suffix-sides")
     few = near.filter("many is null").select(*SIDE_NAMES).repartition("r").sortWithinPartitions("r")
     sorted_few = in_arrow(few, sort_classes, "doc_id long, first int, last int")
     small = cut(map_batches(near.filter("many"), SIDE_NAMES, divided, PARTS), "suffix-parts")
     counts = small.groupBy("core", "whole").agg(F.count("*").alias("same"))
     kinds = counts.groupBy("core").agg(F.count("*").alias("kinds"))
     judged = small.join(counts, ["core", "whole"]).join(kinds, "core").filter("same > 1 or kinds > 1")
-    single = judged.filter("same = 1").select("doc_id", F.posexplode("strings").alias("k", "w"), "first").select("doc_id", (F.col("first") + F.col("k")).alias("first"), "w")
-    others = judged.filter("kinds > 1").select(F.explode("strings").alias("w")).groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    return (
+    single = judged.filter("same = 1").select("doc_id", "core", F.posexplode("strings").alias("k", "w"), "first").select("doc_id", "core", (F.col("first") + F.col("k")).alias("first"), "w")
+    others = judged.filter("kinds > 1").select("core", F.explode("strings").alias("w")).groupBy("core", "w").agg(F.count("*").alias("c")).filter("c > 1").select("core", "w")
+    out = cut(
         full.union(sorted_few)
         .union(judged.filter("same > 1").select("doc_id", "first", "last"))
-        .union(single.join(others, "w", "left_semi").select("doc_id", "first", F.col("first").alias("last")))
+        .union(single.join(others, ["core", "w"], "left_semi").select("doc_id", "first", F.col("first").alias("last"))),
+        "suffix-spans",
     )
+    for used in (found, near, small):
+        forget(used)
+    return out
+
+
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a column `key`: doc_id as long, or for a row without one a negative hash of its text."""
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseOR(F.lit(-(1 << 63)))
+    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), own))
+
+
+def spans_of(starts: DataFrame, key: str, at: str) -> DataFrame:
+    """One row a document: its key, and its ranges as an array of structs."""
+    return starts.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "length")).alias(at)).withColumnRenamed("doc_id", key)
 
 
-def span_arrays(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(first, last) arrays of each row of an array<struct<first, last>> column; a null row has none."""
+def span_arrays(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """(first, last, length) arrays of each row of an array<struct<first, last, length>> column; a null row has none."""
     flat = column.flatten()
-    first, last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+    parts = [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
     used = 0
     for n in column.value_lengths().fill_null(0).to_pylist():
-        yield first[used : used + n], last[used : used + n]
+        yield tuple(p[used : used + n] for p in parts)
         used += n
 
 
-def remove_spans(raw: bytes, first: np.ndarray, last: np.ndarray) -> tuple[int, int, int, list[int], bytes]:
-    """(n_bytes, n_removed, n_spans, [start, end, ...], kept) once the strings that start in first..last are taken out."""
-    n = len(raw)
-    if not len(first):
-        return n, 0, 0, [], raw
-    last = np.minimum(last, n - LENGTH)
+def runs(n: int, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    """(k, 2) starts and ends of the maximal runs, in a text of n bytes, that strings starting in first..last cover."""
+    last = np.minimum(last, n - length)
     ok = last >= first
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, first[ok], 1)
-    np.add.at(step, last[ok] + LENGTH, -1)
-    gone = np.cumsum(step)[:n] > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-    return n, int(gone.sum()), len(edge) // 2, edge.tolist(), np.frombuffer(raw, np.uint8)[~gone].tobytes()
-
-
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """docs, all columns as they are, with repeated strings cut out of text. A character whose bytes were cut apart goes as a whole."""
-    spans = repeated_starts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("at")).select(F.col("doc_id").alias("_spans_of"), F.col("at").alias("_spans_at"))
+    first, last = first[ok], last[ok] + length
+    if not len(first):
+        return np.empty((0, 2), np.int64)
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], np.maximum.accumulate(last[order])
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > end[:-1]]))
+    return np.stack([first[new], end[np.append(new[1:], len(end)) - 1]], axis=1)
+
+
+def without(raw: bytes, gone: np.ndarray) -> bytes:
+    """raw without the runs."""
+    edges = [0, *gone.ravel().tolist(), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def of_words(raw: bytes, gone: np.ndarray, words: int) -> np.ndarray:
+    """The runs that hold at least so many words, or parts of words."""
+    return gone[[len(WORD.findall(raw, a, b)) >= words for a, b in gone.tolist()]] if words and len(gone) else gone
+
+
+def drop_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """docs, all columns as they are, with runs of repeated strings of `length` bytes cut out of text where a run holds at
+    least `words` words. A character whose bytes were cut apart goes as a whole."""
+    own, of, spans_at = (fresh(docs, x) for x in ("own", "spans_of", "spans_at"))
+    marked = keyed(docs, own)
+    starts = repeated_starts(marked.select(F.col(own).alias("doc_id"), F.col("text").cast("string").alias("text")), length)
+    spans = spans_of(starts.withColumn("length", F.lit(length)), of, spans_at)
     names, at = docs.columns, docs.columns.index("text")
-    joined = docs.join(spans.hint("shuffle_hash"), docs["doc_id"] == spans["_spans_of"], "left").drop("_spans_of")
+    joined = marked.join(spans.hint("shuffle_hash"), F.col(own) == F.col(of), "left").select(*[F.col(f"`{c}`") for c in names], spans_at)
+
+    def cut_text(text: str | None, span: tuple[np.ndarray, ...]) -> str | None:
+        if text is None or not len(span[0]):
+            return text
+        raw = text.encode()
+        gone = of_words(raw, runs(len(raw), span[0], span[1], length), words)
+        return without(raw, gone).decode("utf-8", "ignore") if len(gone) else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                text if text is None or not len(span[0]) else remove_spans(text.encode(), *span)[4].decode("utf-8", "ignore")
-                for text, span in zip(batch.column(at).to_pylist(), span_arrays(batch.column(len(names))))
-            ]
             columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array(texts, pa.string())
+            columns[at] = pa.array([cut_text(*x) for x in zip(batch.column(at).to_pylist(), span_arrays(batch.column(len(names))))], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return in_arrow(joined, run, docs.schema)
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, spans, kept): spans as [start, end) pairs in bytes, kept as the bytes that remain."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_starts(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("at")).withColumnRenamed("doc_id", "own")
-    joined = docs.join(spans.hint("shuffle_hash"), docs.doc_id == spans.own, "left")
+def with_long_runs(starts: DataFrame, length: int, least: int) -> DataFrame:
+    """(doc_id) of documents in which the ranges of strings of `length` bytes may cover `least` bytes in one run."""
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        far = [bool((np.diff(runs(1 << 40, *span[:2], length), axis=1) >= least).any()) for span in span_arrays(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(far, pa.bool_()))], names=["own"])
+
+    return map_batches(spans_of(starts.withColumn("length", F.lit(length)), "own", "at"), ["own", "at"], fn, "own long")
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, words: int = PASSAGE_WORDS) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, spans, kept, n_passages, passage_bytes): spans as [start, end) pairs in bytes, kept as
+    the bytes that remain, and the passages (runs of repeated strings of `passage` bytes with at least `words` words), which stay.
+
+    A string of `length` bytes can repeat only where shorter ones cover a run as long, so only documents with such a run are
+    looked through again.
+    """
+    if passage > length:
+        raise ValueError("a passage's strings can't be longer than those that are removed")
+    marked = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text")), "own")
+    every = marked.select(F.col("own").alias("doc_id"), "text")
+    starts = repeated_starts(every, passage).withColumn("length", F.lit(passage))
+    if length > passage:
+        some = every.join(with_long_runs(starts.drop("length"), passage, length).hint("shuffle_hash"), F.col("doc_id") == F.col("own"), "left_semi")
+        starts = starts.union(repeated_starts(some, length).withColumn("length", F.lit(length)))
+    joined = marked.join(spans_of(starts, "of", "at").hint("shuffle_hash"), F.col("own") == F.col("of"), "left")
+
+    def one(text: str | None, first: np.ndarray, last: np.ndarray, own: np.ndarray) -> tuple:
+        raw = (text or "").encode()
+        whole = runs(len(raw), first[own == length], last[own == length], length)
+        short = of_words(raw, runs(len(raw), first[own == passage], last[own == passage], passage), words)
+        n_removed, n_passage = (int(np.diff(x, axis=1).sum()) for x in (whole, short))
+        return len(raw), n_removed, len(whole), whole.ravel().tolist(), without(raw, whole), len(short), n_passage
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = list(zip(*[remove_spans((text or "").encode(), *at) for text, at in zip(batch.column(1).to_pylist(), span_arrays(batch.column(2)))]))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(got, kinds)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+        got = list(zip(*[one(text, *at) for text, at in zip(batch.column(1).to_pylist(), span_arrays(batch.column(2)))]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(got, kinds)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "n_passages", "passage_bytes"])
 
-    return map_batches(joined, ["doc_id", "text", "at"], fn, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
+    return map_batches(joined, ["doc_id", "text", "at"], fn, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary, n_passages long, passage_bytes long")
 
 
 def op5_suffix_dedup(spark, sf_dir):
-    return cut_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "passage_bytes")

@@ -9,8 +9,8 @@ from collections import Counter, defaultdict
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def removed(docs: dict[int, str | None], length: int = 400) -> dict[int, tuple]:
-    """doc_id -> (n_bytes, n_removed, n_spans, sha256 of what is kept)."""
+def spans(docs: dict[int, str | None], length: int) -> dict[int, list[tuple[int, int]]]:
+    """doc_id -> maximal runs of bytes that repeated strings of so many bytes cover."""
     raw = {i: (t or "").encode() for i, t in docs.items()}
     seen = Counter(b[k : k + length] for b in raw.values() for k in range(len(b) - length + 1))
     out = {}
@@ -19,8 +19,28 @@ def removed(docs: dict[int, str | None], length: int = 400) -> dict[int, tuple]:
         for k in range(len(b) - length + 1):
             if seen[b[k : k + length]] > 1:
                 gone[k : k + length] = b"\1" * length
-        kept = bytes(c for c, g in zip(b, gone) if not g)
-        out[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+        out[i] = [m.span() for m in re.finditer(b"\1+", bytes(gone))]
+    return out
+
+
+def removed(docs: dict[int, str | None], length: int = 400) -> dict[int, tuple]:
+    """doc_id -> (n_bytes, n_removed, n_spans, sha256 of what is kept)."""
+    out = {}
+    for i, found in spans(docs, length).items():
+        b = (docs[i] or "").encode()
+        gone = {k for x, y in found for k in range(x, y)}
+        kept = bytes(c for k, c in enumerate(b) if k not in gone)
+        out[i] = (len(b), len(gone), len(found), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def passages(docs: dict[int, str | None], length: int, words: int) -> dict[int, tuple[int, int]]:
+    """doc_id -> (runs with at least so many words, their bytes)."""
+    out = {}
+    for i, found in spans(docs, length).items():
+        b = (docs[i] or "").encode()
+        some = [y - x for x, y in found if len(re.findall(rb"[^\x20\x09-\x0D]+", b[x:y])) >= words]
+        out[i] = (len(some), sum(some))
     return out
 
 

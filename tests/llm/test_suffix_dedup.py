@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -47,22 +48,65 @@ def texts(seed: int) -> dict[int, str | None]:
     return docs
 
 
+@pytest.mark.parametrize("length", [400, 200])
 @pytest.mark.parametrize("hot", [sd.HOT, 2])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_spans(spark, seed, hot, monkeypatch):
-    monkeypatch.setattr(sd.repeated_starts, "__defaults__", (hot,))
+def test_spans(spark, seed, hot, length, monkeypatch):
+    monkeypatch.setattr(sd.repeated_starts, "__defaults__", (length, hot))
     docs = texts(seed)
-    got = sd.cut_repeats(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)).collect()
-    import hashlib
-
+    got = sd.cut_repeats(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3), length).collect()
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got}
-    assert found == brute.removed(docs)
+    assert found == brute.removed(docs, length)
+    assert {r.doc_id: (r.n_passages, r.passage_bytes) for r in got} == brute.passages(docs, sd.PASSAGE, sd.PASSAGE_WORDS)
     for r in got:
         raw = (docs[r.doc_id] or "").encode()
         gone = b"".join(raw[a:b] for a, b in zip(r.spans[::2], r.spans[1::2]))
         assert len(gone) == r.n_removed
 
 
+def test_drop_repeats_by_words(spark):
+    docs = texts(3)
+    got = {r.doc_id: r.text for r in sd.drop_repeats(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), 200, 51).collect()}
+    spans = brute.spans(docs, 200)
+    for i, t in docs.items():
+        raw = (t or "").encode()
+        gone = [(a, b) for a, b in spans[i] if len(brute.WORD.findall(raw[a:b].decode("utf-8", "replace"))) >= 51]
+        kept, at = b"", 0
+        for a, b in gone:
+            kept, at = kept + raw[at:a], b
+        assert got[i] == (t if t is None else (kept + raw[at:]).decode("utf-8", "ignore"))
+
+
+def test_short_strings_are_refused(spark, no_docs):
+    with pytest.raises(ValueError):
+        sd.repeated_starts(no_docs, 100)
+
+
+def test_rows_without_id_take_part(spark):
+    r = random.Random(9)
+    text = "".join(r.choice("abcdefgh ") for _ in range(900))
+    rows = [(None, text), (None, text[100:800]), (4, "z" * 50 + text[200:700])]
+    got = sorted((x.n_bytes, x.n_removed) for x in sd.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(550, 500), (700, 700), (900, 700)]
+
+
+def test_a_text_above_16_mib_meets_short_ones():
+    """One string has one anchor, whatever the size of the text it stands in."""
+    r = np.random.default_rng(4)
+    part = r.integers(0, 256, 700, dtype=np.uint8)
+    long = r.integers(0, 256, (1 << 24) + 5000, dtype=np.uint8)
+    at = (1 << 24) + 1234
+    long[at : at + 700] = part
+
+    def anchors(data, low, high):
+        start, kind = sd.ranges(data)
+        inside = (start >= low) & (start + sd.LENGTH + sd.SIDE <= high)
+        return {(int(s) - low, int(k)) for s, k in zip(start[inside], kind[inside])}
+
+    alone = anchors(part, 0, 700)
+    assert alone and alone == anchors(long, at, at + 700)
+
+
 def test_hot_core_equals_brute(spark):
     """One passage in many documents, each with its own surroundings: more sides than are gathered."""
     r = random.Random(5)
