@@ -6,8 +6,8 @@ import numpy as np
 
 
 def _ranked(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(order, names): stable order of the rows by columns, and names 1.. that are equal for equal rows, in row positions."""
-    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
+    """(order, names): order of the rows by columns, and names 1.. that are equal for equal rows, in row positions."""
+    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0])
     new = np.zeros(len(order), bool)
     for c in columns:
         s = c[order]
@@ -45,24 +45,18 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     sorted_sample = sorted_sample[sorted_sample < n]
     rest = np.arange(0, n, 3)
     wide = len(sample) + 2
-    sorted_rest = rest[np.argsort(s[rest] * wide + rank[rest + 1], kind="stable")]
-    # where each remaining suffix goes among the sampled ones: binary search, all at once
-    is_one = sorted_sample % 3 == 1
-    key = np.where(is_one, s[sorted_sample] * wide + rank[sorted_sample + 1], 0)
-    pair = np.where(is_one, 0, s[sorted_sample] * top + s[sorted_sample + 1])
-    after = np.where(is_one, 0, rank[sorted_sample + 2])
-    own_key = s[sorted_rest] * wide + rank[sorted_rest + 1]
-    own_pair = s[sorted_rest] * top + s[sorted_rest + 1]
-    own_after = rank[sorted_rest + 2]
-    low = np.zeros(len(sorted_rest), np.int64)
-    high = np.full(len(sorted_rest), len(sorted_sample), np.int64)
-    while (low < high).any():
-        mid = (low + high) >> 1
-        m = np.minimum(mid, len(sorted_sample) - 1)
-        less = np.where(is_one[m], key[m] < own_key, (pair[m] < own_pair) | ((pair[m] == own_pair) & (after[m] < own_after)))
-        open_ = low < high
-        low = np.where(open_ & less, mid + 1, low)
-        high = np.where(open_ & ~less, mid, high)
+    sorted_rest = rest[np.argsort(s[rest] * wide + rank[rest + 1])]
+    # where each remaining suffix goes among the sampled ones: those of either kind are in order of a key of their own
+    first = sorted_sample[sorted_sample % 3 == 1]
+    second = sorted_sample[sorted_sample % 3 == 2]
+    pairs, ours = s[second] * top + s[second + 1], s[sorted_rest] * top + s[sorted_rest + 1]
+    if top * top >= (1 << 62) // wide:  # pairs by their rank, so that a key fits
+        known = np.unique(pairs)
+        place = np.searchsorted(known, ours)
+        equal = known[np.minimum(place, len(known) - 1)] == ours if len(known) else np.zeros(len(ours), bool)
+        pairs, ours = 2 * np.searchsorted(known, pairs) + 1, 2 * place + equal
+    low = np.searchsorted(s[first] * wide + rank[first + 1], s[sorted_rest] * wide + rank[sorted_rest + 1])
+    low += np.searchsorted(pairs * wide + rank[second + 2], ours * wide + rank[sorted_rest + 2])
     out = np.empty(n, np.int64)
     at = low + np.arange(len(sorted_rest))
     out[at] = sorted_rest
@@ -75,15 +69,17 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 def equal_prefixes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """For starts in suffix order: group number of each, equal where the prefixes of `length` are equal; adjacent ones are compared."""
     same = np.zeros(len(starts), bool)
-    padded = np.concatenate([data, np.zeros(length, data.dtype)])
-    step = 4096
-    for at in range(1, len(starts), step):
-        a, b = starts[at - 1 : min(at - 1 + step, len(starts) - 1)], starts[at : at + step]
-        hit = np.arange(len(a))
-        for part in range(0, length, 50):  # most neighbours part early
-            span = np.arange(part, min(part + 50, length))
-            hit = hit[(padded[a[hit][:, None] + span] == padded[b[hit][:, None] + span]).all(axis=1)]
-            if not len(hit):
-                break
-        same[at + hit] = True
+    width = 4 if not len(data) or int(data.max()) < 1 << 16 else 1  # symbols in a word
+    padded = np.concatenate([data, np.zeros(length + width, data.dtype)]).astype(np.uint64)
+    words = padded if width == 1 else padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
+    a, b = starts[:-1], starts[1:]
+    hit = np.arange(len(a))
+    for at in [*range(0, length - width + 1, width), max(0, length - width)] if length >= width else []:
+        hit = hit[words[a[hit] + at] == words[b[hit] + at]]  # most neighbours part early
+        if not len(hit):
+            break
+    if length < width:
+        span = np.arange(length)
+        hit = hit[(padded[a[:, None] + span] == padded[b[:, None] + span]).all(axis=1)] if len(a) else hit
+    same[hit + 1] = True
     return np.cumsum(~same)
