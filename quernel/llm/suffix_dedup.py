@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.common import cut, documents, forget, fresh, in_arrow, map_batches
-from quernel.llm.hashing import Prefix, mix
+from quernel.llm.hashing import BYTE_VALUES, Prefix, _powers, mix
 from quernel.llm.suffixes import equal_prefixes, suffix_array
 
 LENGTH, GRAM, WINDOW, RANGE = 400, 16, 128, 64
@@ -47,7 +47,7 @@ SIDE = RANGE - 1
 #: 51 words with a blank after each are longer than 200 bytes from three letters a word on.
 PASSAGE, PASSAGE_WORDS = 200, 51
 #: Most different sides of one core that are gathered for one sort; symbols that one sort takes.
-HOT, SORT_SYMBOLS = 1000, 500_000
+HOT, SORT_SYMBOLS = 500, 500_000
 #: Starts that are judged together in a core with more sides than that.
 STEP = 8
 #: Bits of a position beside a gram's hash: texts are below 2 GiB.
@@ -228,32 +228,35 @@ def repeats(rows: list[tuple]) -> list[tuple[int, int, int]]:
 
 def divided(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Ranges (r, doc_id, start, left, right) as ranges of STEP starts: first and last start, hash of the common part, hash of all of it, hash of each string."""
-    doc, first, last, core, whole, strings = [], [], [], [], [], []
-    for r, i, start, left, right in zip(*[c.to_pylist() for c in batch.columns]):
-        a, b = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
-        before, after = Prefix(a), Prefix(b)
-        gone = SIDE - len(a)  # starts before the text
-        t = np.arange(gone, min(SIDE, len(b)) + 1)
-        zero = np.zeros(len(t), np.int64)
-        key = _U(r & 0xFFFFFFFFFFFFFFFF)
-
-        def pair(low: np.ndarray, high: np.ndarray, salt: int) -> np.ndarray:
-            h = before.span(low - gone, zero[: len(low)] + len(a)) * _U(0xD1B54A32D192ED03)
-            return mix((h ^ after.span(zero[: len(low)], high)) * _U(0xC2B2AE3D27D4EB4F) + key + low.astype(np.uint64) * _U(salt))
-
-        w = pair(t, t, 0x9FB21C651E98DF25).view(np.int64)
-        for at in range(t[0] - t[0] % STEP if len(t) else RANGE, min(SIDE, len(b)) + 1, STEP):
-            inside = (t >= at) & (t < at + STEP)
-            lo, hi = t[inside][:1], t[inside][-1:]
-            doc.append(i)
-            first.append(start + int(lo[0]))
-            last.append(start + int(hi[0]))
-            edge = np.array([at])  # the core is that of all STEP starts, also where some lie outside the text
-            core.append(int(pair(edge + STEP - 1, edge, 0x27D4EB2F165667C5).view(np.int64)[0]))
-            whole.append(int(pair(lo, hi, 0x165667B19E3779F9).view(np.int64)[0]))
-            strings.append(w[inside])
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([doc, first, last, core, whole, strings], kinds)], names=PART_NAMES)
+    n = batch.num_rows
+    r, doc, start = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+    left, right = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+    gone = SIDE - np.fromiter(map(len, left), np.int64, n)  # starts before the text
+    most = np.fromiter(map(len, right), np.int64, n)  # the last start inside the text
+    a = np.frombuffer(b"".join(x.rjust(SIDE, b"\0") for x in left), np.uint8).reshape(n, SIDE)
+    b = np.frombuffer(b"".join(x.ljust(SIDE, b"\0") for x in right), np.uint8).reshape(n, SIDE)
+    weight = _powers.get(SIDE)[0][:SIDE]
+    # hashes of left[t:] and right[:t]; strings of one t are compared, so their places are the same
+    before, after = np.zeros((n, RANGE), np.uint64), np.zeros((n, RANGE), np.uint64)
+    before[:, :SIDE] = np.cumsum((BYTE_VALUES[a] * weight)[:, ::-1], axis=1, dtype=np.uint64)[:, ::-1]
+    after[:, 1:] = np.cumsum(BYTE_VALUES[b] * weight, axis=1, dtype=np.uint64)
+    before, after = mix(before) * _U(0xD1B54A32D192ED03), mix(after)
+
+    def pair(row: np.ndarray, low: np.ndarray, high: np.ndarray, salt: int) -> np.ndarray:
+        h = (before[row, low] ^ after[row, high]) * _U(0xC2B2AE3D27D4EB4F)
+        return mix(h + r[row].astype(np.uint64) + low.astype(np.uint64) * _U(salt)).view(np.int64)
+
+    at = np.arange(0, RANGE, STEP)[None, :]
+    lo, hi = np.maximum(at, gone[:, None]), np.minimum(at + STEP - 1, most[:, None])
+    row, part = np.nonzero(lo <= hi)
+    lo, hi, at = lo[row, part], hi[row, part], part * STEP
+    size = hi - lo + 1
+    ends = np.cumsum(size)
+    t = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(lo - (ends - size), size)
+    strings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(pair(np.repeat(row, size), t, t, 0x9FB21C651E98DF25)))
+    # the core is that of all STEP starts, also where some lie outside the text
+    columns = [doc[row], (start[row] + lo).astype(np.int32), (start[row] + hi).astype(np.int32), pair(row, at + STEP - 1, at, 0x27D4EB2F165667C5), pair(row, lo, hi, 0x165667B19E3779F9)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), strings], names=PART_NAMES)
 
 
 PART_NAMES = ["doc_id", "first", "last", "core", "whole", "strings"]
