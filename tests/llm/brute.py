@@ -79,3 +79,26 @@ def base_figures(text: str | None) -> tuple:
     lines = text.split("\n")
     dup = sum(1 for k, x in enumerate(lines) if WORD.search(x) and x in lines[:k])
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)
+
+
+def repetition(text: str | None, limits) -> list[str]:
+    """Names of the repetition rules that a text fails, in the order of the operator."""
+    text = text or ""
+    w = WORD.findall(text)
+    chars = sum(map(len, w))
+    lines = text.split("\n")
+    out = []
+    if sum(len("".join(WORD.findall(x))) for k, x in enumerate(lines) if x in lines[:k]) > limits.LINE_SHARE * chars:
+        out.append("lines")
+    for n in range(2, 11):
+        at = defaultdict(list)
+        for k in range(len(w) - n + 1):
+            at[tuple(w[k : k + n])].append(k)
+        most = max(map(len, at.values()), default=0)
+        if most < 2:
+            continue
+        if n in limits.MOST_FREQUENT and max(sum(map(len, g)) for g, v in at.items() if len(v) == most) * most / chars > limits.MOST_FREQUENT[n]:
+            out.append(f"top{n}")
+        if n in limits.DUPLICATED and sum(len(w[k]) for k in {k + d for v in at.values() if len(v) > 1 for k in v for d in range(n)}) / chars > limits.DUPLICATED[n]:
+            out.append(f"dup{n}")
+    return out

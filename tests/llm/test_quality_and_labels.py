@@ -1,5 +1,6 @@
 """Operators 2, 4, 8 and 10."""
 
+from collections import Counter
 from itertools import product
 
 import duckdb
@@ -132,7 +133,43 @@ def test_rules_query(spark, tiny):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     for r in quality_rules.op10_quality_rules(spark, tiny).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.base_figures(docs[r.doc_id])
-        assert not (r.kept and r.base_failed)
+        assert r.rules_failed.split(",") == (brute.repetition(docs[r.doc_id], quality_rules) or [""])
+        assert r.kept == (not r.base_failed and not r.rules_failed)
+
+
+def test_every_rule_rejects_some_text(spark):
+    """Of the texts that pass the base rules, each kind of coverage rejects some, and nearly all good ones stay."""
+    got = quality_rules.op10_quality_rules(spark, "/root/testdata/sf0.1").filter("not base_failed").select("doc_id", "kept", "rules_failed")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    rows = got.collect()
+    n = Counter(rule for r in rows for rule in r.rules_failed.split(",") if rule)
+    assert {*(f"dup{k}" for k in quality_rules.DUPLICATED), "lines"} <= set(n) and {"top2", "top3", "top4"} & set(n)
+    good = [r.kept for r in rows if labels.get(r.doc_id) == 1]
+    assert sum(good) / len(good) > 0.99
+
+
+def test_each_rule_alone():
+    """A text made for each rule fails it; just below the limit it doesn't."""
+    fresh = iter(range(10**6))
+    new = lambda n: [f"w{next(fresh):05d}" for _ in range(n)]
+    for n, limit in quality_rules.DUPLICATED.items():
+        gram = new(n)
+        for share, hit in ((limit + 0.03, True), (limit - 0.03, False)):
+            words = gram + new(round(2 * n / share) - 2 * n) + gram
+            assert (f"dup{n}" in quality_rules.measure(" ".join(words))[9]) == hit
+    for n, limit in quality_rules.MOST_FREQUENT.items():
+        gram = new(n)
+        for share, hit in ((limit + 0.03, True), (limit - 0.03, False)):
+            words, times = [], 12
+            for _ in range(times):
+                words += gram + new(round(n / share) - n)
+            exact = n * times / len(words)
+            assert (f"top{n}" in quality_rules.measure(" ".join(words))[9]) == (exact > limit)
+            assert (exact > limit) == hit
+    line = " ".join(new(3))
+    for more, hit in ((10, True), (60, False)):
+        assert ("lines" in quality_rules.measure("\n".join([line, line, " ".join(new(more))]))[9]) == hit
+    assert quality_rules.measure("$$$$ #### " * 3 + " ".join(new(60)))[9] == []
 
 
 def test_rules_of_odd_documents(spark, odd_docs, odd_rows, no_docs):
@@ -153,5 +190,5 @@ def test_repetition_coverage():
         most = max(most, sum(len(words[k]) for k in hit) / sum(map(len, words)))
     got = quality_rules.measure(text)
     assert np.isclose(got[5], most)
-    assert not quality_rules.measure("one line of words here\n" * 40)[-1]
-    assert quality_rules.measure(" ".join(f"w{k}" for k in range(100)))[-1]
+    assert quality_rules.measure("one line of words here\n" * 40)[-1]
+    assert not quality_rules.measure(" ".join(f"w{k}" for k in range(100)))[-1]
