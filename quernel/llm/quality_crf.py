@@ -1,12 +1,16 @@
 """Operator 4: document quality by a linear-chain conditional random field over lines.
 
 Every line is labelled good or bad. Its features are binned figures of the line itself and of its two
-neighbours; training lines carry their document's label. Forward-backward gives each line's marginal
-probability of being good, and a document's score is their mean weighted by line length.
-
-Defined cases: null or empty text is one empty line; with no training rows all scores are 0.5; repeated
-rows give equal rows; columns other than those named are ignored; labels, lang, source and doc_id are
-never features.
+neighbours. Only documents bear labels, so the lines' labels are latent: the fit (posterior regularisation, an
+EM) asks only that good lines make up at least GOOD_SHARE of a good training document's length and at most
+BAD_SHARE of a bad one's, and moves the model towards the nearest line labels that obey this. Which lines of a
+bad document may pass as good is left to the lines. Forward-backward gives each line's marginal probability of
+being good, and a document's score is their mean weighted by line length.
+
+Defined cases: null or empty text is one empty line; lines of a text without characters weigh the same; with
+no training rows all scores are 0.5; repeated rows give equal rows; an empty table gives no row; columns other
+than those named are ignored; labels, lang, source and doc_id are never features. A text of n lines takes
+log2(n) rounds over its lines, so texts of very many lines don't hold a task.
 """
 
 from __future__ import annotations
@@ -21,8 +25,13 @@ from quernel.llm.toxicity import training_rows
 
 #: Expected number of training documents of each label at most (picked by a hash of doc_id).
 TRAIN_ROWS = {1: 4000, 0: 3000}
-#: Bins of a figure; steps, rate and ridge of the fit.
-BINS, STEPS, RATE, RIDGE = 8, 300, 0.08, 0.002
+#: Longest training text in characters; longer ones are not in the sample.
+TRAIN_CHARS = 200_000
+#: Bins of a figure; steps, rate, ridge of the fit and ridge of its links.
+BINS, STEPS, RATE, RIDGE, LINK_RIDGE = 8, 100, 0.1, 0.002, 0.02
+#: Least share of good lines, by length, in a good training document; largest in a bad one; how fast a document's shift follows;
+#: power of the labels' ratio by which the rarer bad documents count for more.
+GOOD_SHARE, BAD_SHARE, SHIFT_RATE, BALANCE = 0.9, 0.1, 2.0, 0.5
 FEATURES = ["length", "letters", "upper", "digits", "symbols", "points", "words", "word_length", "distinct", "doubled", "seen", "ended"]
 #: Class of each code point below 0x10000: 1 lower or other letter, 2 upper letter, 4 digit, 8 one of #*$%&|<>, 16 other mark.
 _classes: np.ndarray | None = None
@@ -101,72 +110,98 @@ WEIGHTS = 3 * len(FEATURES) * BINS + 2
 
 
 class Chains:
-    """Documents' lines side by side, longest document first, for vectorised forward-backward."""
+    """Documents' lines side by side, for forward-backward as products of 2 x 2 matrices, doubled round by round."""
 
     def __init__(self, sizes: list[int]):
-        self.order = np.argsort(-np.array(sizes, np.int64), kind="stable")
-        self.sizes = np.array(sizes, np.int64)[self.order]
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)[self.order] if len(sizes) else np.empty(0, np.int64)
-        self.steps = []
-        alive = len(self.sizes)
-        for t in range(int(self.sizes[0]) if len(sizes) else 0):
-            while self.sizes[alive - 1] <= t:
-                alive -= 1
-            self.steps.append(first[:alive] + t)
-
-    def marginals(self, unary: np.ndarray, link: np.ndarray, links: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """unary: (lines, 2) log scores; link: (2, 2) log scores. Returns (line marginals, expected links, log partition of each document in order)."""
-        forward, backward = np.zeros_like(unary), np.zeros_like(unary)
-        steps, z = self.steps, np.zeros(len(self.sizes))
-        for t, at in enumerate(steps):
-            if not t:
-                forward[at] = unary[at]
-            else:
-                was = forward[steps[t - 1][: len(at)]]
-                forward[at] = unary[at] + np.logaddexp(was[:, :1] + link[0], was[:, 1:] + link[1])
-        for t in range(len(steps) - 2, -1, -1):
-            nxt = steps[t + 1]
-            now = steps[t][: len(nxt)]
-            x = unary[nxt] + backward[nxt]
-            backward[now] = np.logaddexp(x[:, :1] + link[:, 0], x[:, 1:] + link[:, 1])
-        both = forward + backward
-        total = np.logaddexp(both[:, 0], both[:, 1])
+        self.sizes = np.array(sizes, np.int64)
+        self.n = int(self.sizes.sum())
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        before = np.arange(self.n) - self.first[self.of]
+        after = self.sizes[self.of] - 1 - before
+        self.rounds = []
+        step = 1
+        while step < (int(self.sizes.max()) if len(self.sizes) else 0):
+            self.rounds.append((step, np.flatnonzero(before >= step), np.flatnonzero(after >= step)))
+            step *= 2
+        self.inner = np.flatnonzero(before > 0)
+        self.not_last = np.flatnonzero(after > 0)
+
+    @staticmethod
+    def times(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(products of (2, 2, n) matrices, scaled to a largest entry of 1; log of the scales)"""
+        c = a[:, :1] * b[:1] + a[:, 1:] * b[1:]
+        top = np.maximum(np.maximum(c[0, 0], c[0, 1]), np.maximum(c[1, 0], c[1, 1]))
+        return c / top, np.log(top)
+
+    def marginals(self, unary: np.ndarray, link: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """unary: (lines, 2) log scores; link: (2, 2) log scores; weight: of each document, for the links. Returns (line marginals, expected links, log partition of each document)."""
+        most = unary.max(axis=1)
+        one = np.exp(unary - most[:, None]).T
+        step = np.exp(link - link.max())[:, :, None] * one[None]
+        step[:, :, self.first] = one[:, self.first]  # a first line follows no other
+        front, back, scale = step.copy(), step.copy(), np.zeros(self.n)
+        for d, later, earlier in self.rounds:
+            front[:, :, later], more = self.times(front[:, :, later - d], front[:, :, later])
+            scale[later] += scale[later - d] + more
+            back[:, :, earlier], _ = self.times(back[:, :, earlier], back[:, :, earlier + d])
+        forward, backward = front[0], np.ones((2, self.n))
+        backward[:, self.not_last] = back[:, 0, self.not_last + 1] + back[:, 1, self.not_last + 1]
+        both = forward * backward
         expected = np.zeros((2, 2))
-        for t in range(1, len(steps) if links else 0):
-            at = steps[t]
-            was = steps[t - 1][: len(at)]
-            joint = forward[was][:, :, None] + link[None] + (unary[at] + backward[at])[:, None, :] - total[at][:, None, None]
-            expected += np.exp(joint).sum(axis=0)
-        if len(steps):
-            z[:] = total[steps[0]]
-        return np.exp(both - total[:, None]), expected, z
-
-
-def fit_crf(docs: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(bin edges, emission weights of label 1 against 0, link scores) by Adam on the ridge-penalised likelihood."""
+        if len(at := self.inner):
+            joint = forward[:, None, at - 1] * step[:, :, at] * backward[None, :, at]
+            expected = joint @ ((1 if weight is None else weight[self.of[at]]) / joint.sum(axis=(0, 1)))
+        last = self.first + self.sizes - 1
+        z = np.log(forward[0, last] + forward[1, last]) + scale[last] + np.bincount(self.of, most, len(self.sizes)) + (self.sizes - 1) * link.max()
+        return (both / (both[0] + both[1])).T, expected, z
+
+
+def line_weights(sizes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Share of each line in its document's length; lines of a document without characters weigh the same."""
+    weight = sizes.astype(float)
+    weight[np.bincount(of, weight, n)[of] == 0] = 1
+    return weight / np.bincount(of, weight, n)[of]
+
+
+def fit_crf(docs: list[tuple[np.ndarray, int]], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(bin edges, emission weights of label 1 against 0, link scores) from (figures, document's label).
+
+    Each step compares the chains with the same chains under a shift of each document's emissions, one number a document
+    that its constraint asks for (0 where the model obeys it), and moves by Adam towards the latter, with a ridge.
+    """
     if not docs:
         return None
     edges = edges_of(np.concatenate([f for f, _ in docs]))
     columns = np.concatenate([with_neighbours(binned(f, edges)) for f, _ in docs])
-    sizes = [len(f) for f, _ in docs]
-    y = np.repeat([label for _, label in docs], sizes)
-    chains = Chains(sizes)
-    same = np.zeros((2, 2))
-    for k in (0, 1):
-        same[k, k] = sum(len(f) - 1 for f, label in docs if label == k)
+    chains = Chains([len(f) for f, _ in docs])
+    share = line_weights(np.expm1(np.concatenate([f[:, 0] for f, _ in docs])), chains.of, len(docs))
+    pull = share * chains.sizes[chains.of]  # 1 on the average
+    y = np.array([label for _, label in docs])
+    weight = np.where(y == 0, max(1.0, (y == 1).sum() / max(1, (y == 0).sum())) ** BALANCE, 1.0)  # the rarer bad documents count for more
+    aim, sign = np.where(y == 1, GOOD_SHARE, BAD_SHARE), np.where(y == 1, 1.0, -1.0)
+    shift = 3 * sign
     w = np.zeros(WEIGHTS + 5)  # emissions, bias, links
+    ridge = np.full(len(w), RIDGE)
+    ridge[WEIGHTS + 1 :] = LINK_RIDGE
     mean, square = np.zeros_like(w), np.zeros_like(w)
     flat, wide = columns.ravel(), columns.shape[1]
-    for step in range(1, STEPS + 1):
-        unary = np.zeros((len(y), 2))
-        unary[:, 1] = w[columns].sum(axis=1) + w[WEIGHTS]
-        p, links, _ = chains.marginals(unary, w[WEIGHTS + 1 :].reshape(2, 2))
-        off = y - p[:, 1]
+    unary = np.zeros((chains.n, 2))
+    for step in range(1, steps + 1):
+        unary[:, 1] = np.clip(w[columns].sum(axis=1) + w[WEIGHTS], -30, 30)
+        link = w[WEIGHTS + 1 :].reshape(2, 2)
+        p, links, _ = chains.marginals(unary, link, weight)
+        moved = unary.copy()
+        moved[:, 1] += shift[chains.of] * np.minimum(pull, 3)
+        q, wanted, _ = chains.marginals(moved, link, weight)
+        shift += SHIFT_RATE * (aim - np.bincount(chains.of, share * q[:, 1], len(docs)))
+        shift = sign * np.clip(sign * shift, 0, 12)
+        off = (q[:, 1] - p[:, 1]) * weight[chains.of]
         grad = np.zeros_like(w)
         grad[:WEIGHTS] = np.bincount(flat, np.repeat(off, wide), WEIGHTS)
         grad[WEIGHTS] = off.sum()
-        grad[WEIGHTS + 1 :] = (same - links).ravel()
-        grad = grad / len(docs) - RIDGE * w
+        grad[WEIGHTS + 1 :] = (wanted - links).ravel()
+        grad = grad / len(docs) - ridge * w
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad * grad
         w += RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return edges, w[: WEIGHTS + 1], w[WEIGHTS + 1 :].reshape(2, 2)
@@ -176,29 +211,31 @@ def fit(docs: DataFrame, marks: DataFrame, is_held: F.Column, label: str = "qual
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([line_figures(t)[0].astype(np.float32).tobytes() for t in texts_of(batch.column(1))], pa.binary()), batch.column(2)], names=["doc_id", "figures", "y"])
 
-    got = map_batches(training_rows(docs, marks, is_held, label, most or TRAIN_ROWS), ["doc_id", "text", "y"], fn, "doc_id long, figures binary, y int")
+    got = map_batches(training_rows(docs.filter(F.length("text") <= TRAIN_CHARS), marks, is_held, label, most or TRAIN_ROWS), ["doc_id", "text", "y"], fn, "doc_id long, figures binary, y int")
     rows = sorted(((r.doc_id, bytes(r.figures), r.y) for r in got.toLocalIterator()))
     return fit_crf([(np.frombuffer(f, np.float32).reshape(-1, len(FEATURES)).astype(float), y) for _, f, y in rows])
 
 
-def score_texts(texts: list[str], model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(score, number of lines, lines more likely bad than good) of each text."""
+def score_lines(texts: list[str], model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(probability that it is good, share of its text's length, text) of each line, and each text's number of lines."""
     got = [line_figures(t) for t in texts]
     sizes = [len(s) for _, s in got]
-    docs_of = np.repeat(np.arange(len(got)), sizes)
+    of = np.repeat(np.arange(len(got)), sizes)
     if model is None:
-        good = np.full(len(docs_of), 0.5)
+        good = np.full(len(of), 0.5)
     else:
         edges, w, link = model
         columns = np.concatenate([with_neighbours(binned(f.astype(np.float32).astype(float), edges)) for f, _ in got])
-        unary = np.zeros((len(docs_of), 2))
-        unary[:, 1] = w[columns].sum(axis=1) + w[WEIGHTS]
-        good = Chains(sizes).marginals(unary, link, links=False)[0][:, 1]
-    weight = np.concatenate([s for _, s in got]).astype(float)
-    whole = np.bincount(docs_of, weight, len(got))
-    weight[whole[docs_of] == 0] = 1
-    s = np.clip(np.bincount(docs_of, weight * good, len(got)) / np.bincount(docs_of, weight, len(got)), 0, 1)
-    return s, np.array(sizes, np.int64), np.bincount(docs_of, good < 0.5, len(got)).astype(np.int64)
+        unary = np.zeros((len(of), 2))
+        unary[:, 1] = np.clip(w[columns].sum(axis=1) + w[WEIGHTS], -30, 30)
+        good = Chains(sizes).marginals(unary, link)[0][:, 1]
+    return good, line_weights(np.concatenate([s for _, s in got]), of, len(got)), of, np.array(sizes, np.int64)
+
+
+def score_texts(texts: list[str], model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, number of lines, lines more likely bad than good) of each text."""
+    good, share, of, sizes = score_lines(texts, model)
+    return np.clip(np.bincount(of, share * good, len(sizes)), 0, 1), sizes, np.bincount(of, good < 0.5, len(sizes)).astype(np.int64)
 
 
 def score(docs: DataFrame, model) -> DataFrame:

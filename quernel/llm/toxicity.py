@@ -29,6 +29,8 @@ SLOTS = 1 << SLOT_BITS
 PREFIXES = (4, 5, 6, 7)
 #: Expected number of training rows of each label at most (picked by a hash of doc_id).
 TRAIN_ROWS = {1: 5000, 0: 10000}
+#: Longest training text in characters; longer ones are not in the sample, so a row sent to the driver is bounded.
+TRAIN_CHARS = 200_000
 #: Words that a worker keeps the hash of; emptied when full.
 KEPT_WORDS = 400_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 4.0, 1.0, 6
@@ -132,7 +134,7 @@ def fit(docs: DataFrame, marks: DataFrame, is_held: F.Column, label: str = "toxi
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([slots(t).astype(np.int32).tobytes() for t in texts_of(batch.column(1))], pa.binary()), batch.column(2)], names=["doc_id", "slots", "y"])
 
-    got = map_batches(training_rows(docs, marks, is_held, label, most or TRAIN_ROWS), ["doc_id", "text", "y"], fn, "doc_id long, slots binary, y int")
+    got = map_batches(training_rows(docs.filter(F.length("text") <= TRAIN_CHARS), marks, is_held, label, most or TRAIN_ROWS), ["doc_id", "text", "y"], fn, "doc_id long, slots binary, y int")
     return train([(r.doc_id, np.frombuffer(r.slots, np.int32), r.y) for r in got.toLocalIterator()])
 
 

@@ -80,6 +80,59 @@ def test_quality_query(spark, truth):
     assert accuracy(rows, truth[0]) > 0.93
 
 
+GOOD_LINE = "A plain sentence of ordinary words stands here, and it ends well."
+BAD_LINE = "$$$ ### @@ 1234 || %% ## && 99 ** $$"
+
+
+@pytest.fixture(scope="module")
+def line_model():
+    """Documents of several lines with a label each; a third of a bad document's lines look good."""
+    rng = np.random.default_rng(2)
+    docs = []
+    for k in range(300):
+        y = int(k % 3 > 0)
+        lines = [GOOD_LINE[: rng.integers(30, 66)] if y or rng.random() < 0.3 else BAD_LINE[: rng.integers(15, 36)] for _ in range(rng.integers(1, 9))]
+        docs.append((quality_crf.line_figures("\n".join(lines))[0], y))
+    return quality_crf.fit_crf(docs)
+
+
+def test_lines_of_one_text_get_labels_of_their_own(line_model):
+    text = "\n".join([GOOD_LINE] * 4 + [BAD_LINE] * 4 + [GOOD_LINE] * 3)
+    good, share, _, _ = quality_crf.score_lines([text], line_model)
+    inner = [0, 1, 2, 9, 10]  # a line beside a change may go with its neighbour
+    assert (good[inner] > 0.5).all() and (good[4:8] < 0.5).all()
+    assert np.isclose(share.sum(), 1) and np.allclose(share * sum(map(len, text.split("\n"))), [len(x) for x in text.split("\n")])
+
+
+def test_score_is_the_mean_of_lines_by_length(line_model):
+    texts = ["\n".join([GOOD_LINE] * 8 + [BAD_LINE] * 2), "\n".join([GOOD_LINE] * 2 + [BAD_LINE] * 8), "", "\n\n"]
+    scores, n, bad = quality_crf.score_texts(texts, line_model)
+    good, _, of, _ = quality_crf.score_lines(texts, line_model)
+    assert scores[0] > 0.5 > scores[1] and n.tolist() == [10, 10, 1, 3] and 0 < bad[0] < 5 < bad[1]
+    for k, text in enumerate(texts):
+        sizes = np.array([len(x) for x in text.split("\n")], float)
+        assert np.isclose(scores[k], np.average(good[of == k], weights=sizes if sizes.sum() else None))
+
+
+def test_fit_obeys_its_constraints(line_model):
+    bad, good = "\n".join([BAD_LINE] * 5), "\n".join([GOOD_LINE] * 5)
+    s = quality_crf.score_texts([bad, good], line_model)[0]
+    assert s[0] < 0.25 and s[1] > 0.75
+
+
+def test_text_of_very_many_lines(line_model):
+    s, n, _ = quality_crf.score_texts([(GOOD_LINE[:30] + "\n") * 200_000], line_model)
+    assert n.tolist() == [200_001] and 0.5 < s[0] <= 1
+
+
+def test_longest_texts_are_not_in_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, GOOD_LINE), (2, BAD_LINE), (3, GOOD_LINE * 50)], "doc_id long, text string")
+    marks = spark.createDataFrame([(3, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(quality_crf, "TRAIN_CHARS", 500)
+    assert quality_crf.fit(docs, marks, F.lit(False)) is None
+    assert {r.score for r in quality_crf.score(docs, None).collect()} == {0.5}
+
+
 def test_quality_of_odd_documents(spark, odd_docs, no_docs, no_labels):
     none = quality_crf.fit(odd_docs, no_labels, F.lit(False))
     assert none is None and {r.score for r in quality_crf.score(odd_docs, none).collect()} == {0.5}
