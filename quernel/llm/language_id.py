@@ -4,8 +4,12 @@ A profile is the list of a language's most frequent letter n-grams (1 to 3 lette
 blank) by rank. A document's own ranked list is compared with each profile by out-of-place distance:
 the sum of rank differences, PROFILE for an n-gram that the profile lacks. The nearest language wins.
 
+Every n-gram of every training row is counted, so a profile doesn't depend on how the rows are dealt out.
+
 Defined cases: null text and text without a letter are `und` with score 0; with no training rows every
-document is `und`; ties between languages go to the first by name, ties between n-grams to the smaller code.
+document is `und`; ties between languages go to the first by name, ties between n-grams to the smaller code;
+repeated rows give equal rows; an empty table gives no row; a text of any length is handled alone; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from quernel.llm.common import documents, held_out, map_batches, texts_of
 PROFILE = 300
 #: Expected number of training documents of one language at most (they are picked by a hash of doc_id).
 TRAIN_DOCS = 2000
-#: Different n-grams that one batch of training documents reports for a language at most.
-TRAIN_GRAMS = 20_000
+#: Most languages: a profile of each travels with every task.
+MAX_LANGUAGES = 500
 
 _letters: np.ndarray | None = None
 
@@ -72,9 +76,6 @@ def profiles(rows: DataFrame, lang_col: str, text_col: str) -> dict[str, np.ndar
         for lang in sorted(set(langs)):
             got = [gram_codes(t) for own, t in zip(langs, texts) if own == lang]
             grams, n = np.unique(np.concatenate(got), return_counts=True)
-            if len(grams) > TRAIN_GRAMS:
-                first = np.argsort(-n, kind="stable")[:TRAIN_GRAMS]
-                grams, n = grams[first], n[first]
             out.append(([lang] * len(grams), grams, n))
         return pa.RecordBatch.from_arrays([pa.array([x for o in out for x in o[0]], pa.string()), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]).astype(np.int64))], names=["lang", "gram", "n"])
 
@@ -88,12 +89,17 @@ def profiles(rows: DataFrame, lang_col: str, text_col: str) -> dict[str, np.ndar
 
 
 def training_rows(docs: DataFrame, id_col: str, lang_col: str, is_held: F.Column) -> DataFrame:
-    """Training rows, thinned by a hash of the id so that a language has about TRAIN_DOCS of them at most."""
+    """Training rows, thinned by a hash of the id so that a language has about TRAIN_DOCS of them at most.
+
+    One row a language reaches the driver; a column of more than MAX_LANGUAGES values is no language column and an error.
+    """
     usable = docs.filter(~is_held & F.col(lang_col).isNotNull())
-    shares = {r[0]: min(1.0, TRAIN_DOCS / r[1]) for r in usable.groupBy(lang_col).count().collect()}
+    counts = usable.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values")
     share = F.lit(0.0)
-    for lang, part in shares.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(part)).otherwise(share)
+    for lang, n in sorted(map(tuple, counts)):
+        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, TRAIN_DOCS / n))).otherwise(share)
     return usable.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < share * 1_000_000)
 
 

@@ -4,8 +4,10 @@ encode()/decode() cover Netpbm P1 to P6 (8 and 16 bits; written as P5 or P6) and
 A resized image is kept as an NPY tile beside a difference hash of its brightness.
 
 Defined cases: null text is an empty text, whose payload is one block of padding; equal payloads give
-equal values; a file that is no such image raises ValueError in decode() and gives nulls in
-media_columns(); columns other than the two named are ignored.
+equal values; an empty table gives no row; a file that is no such image, is cut short, names a colour beyond its
+palette, a sample above its largest one or more samples than its bytes can hold raises ValueError in decode() and
+gives nulls in media_columns(), as a null does; an image without samples has a height and a width but no hash and
+no tile; texts of any length are stored whole; columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ def encode_netpbm(image: np.ndarray) -> bytes:
     return b"%s\n%d %d\n%d\n" % (kind, image.shape[1], image.shape[0], top) + image.astype(np.uint8 if top == 255 else ">u2").tobytes()
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6, with comments; samples as they are stored (P1 and P4: 0 for black, 255 for white)."""
+def netpbm_header(data: bytes) -> tuple[bytes, int, int, int, int]:
+    """(kind, width, height, largest sample, where the samples begin)"""
     kind, at, fields = data[:2], 2, []
     if len(data) < 3 or kind[:1] != b"P" or kind[1:] not in (b"1", b"2", b"3", b"4", b"5", b"6"):
         raise ValueError("not a Netpbm image")
@@ -49,36 +51,49 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         end = at
         while end < len(data) and data[end : end + 1].isdigit():
             end += 1
-        if end == at:
-            raise ValueError("header is cut short")
+        if not 0 < end - at < 10:
+            raise ValueError("a number of the header is missing or too long")
         fields.append(int(data[at:end]))
         at = end
-    width, height = fields[:2]
-    top = fields[2] if need == 3 else 1
+    return kind, fields[0], fields[1], fields[2] if need == 3 else 1, at
+
+
+def decode_netpbm(data: bytes) -> np.ndarray:
+    """P1 to P6, with comments; samples as they are stored where the largest is 255 or 65535, else stretched to that (P1 and P4: 0 for black, 255 for white)."""
+    kind, width, height, top, at = netpbm_header(data)
     depth = 3 if kind in (b"P3", b"P6") else 1
     n = width * height * depth
     if not 0 < top < 65536:
         raise ValueError("largest sample out of range")
-    if kind == b"P1":
-        bits = [c - 48 for c in data[at:] if c in b"01"][:n]
-        flat = np.where(np.array(bits, np.uint8) == 1, 0, 255).astype(np.uint8)
-    elif kind in (b"P2", b"P3"):
-        flat = np.array(data[at:].split()[:n], dtype=np.int64).astype(np.uint8 if top < 256 else np.uint16)
-    elif kind == b"P4":
+    if n > 8 * len(data):
+        raise ValueError("image is cut short")
+    shape = (height, width) if depth == 1 else (height, width, 3)
+    if kind == b"P4":
         row = -(-width // 8)
-        raw = np.frombuffer(data, np.uint8, offset=at + 1)[: row * height]
+        raw = np.frombuffer(data[at + 1 : at + 1 + row * height], np.uint8)
         if len(raw) < row * height:
             raise ValueError("image is cut short")
-        flat = np.where(np.unpackbits(raw.reshape(height, row), axis=1)[:, :width] == 1, 0, 255).astype(np.uint8).ravel()
+        return np.where(np.unpackbits(raw.reshape(height, row), axis=1)[:, :width] == 1, 0, 255).astype(np.uint8) if n else np.empty(shape, np.uint8)
+    if kind == b"P1":
+        bits = np.frombuffer(data[at:], np.uint8)
+        flat = np.where(bits[(bits == 48) | (bits == 49)][:n] == 49, 0, 255)
+        top = 255
+    elif kind in (b"P2", b"P3"):
+        words = data[at:].split()[:n]
+        if not all(w.isdigit() and len(w) < 10 for w in words):
+            raise ValueError("a sample is no number in range")
+        flat = np.array([int(w) for w in words], np.int64)
     else:
-        kind_of = np.dtype(np.uint8 if top < 256 else ">u2")
-        if len(data) < at + 1 + n * kind_of.itemsize:
-            raise ValueError("image is cut short")
-        flat = np.frombuffer(data, kind_of, n, at + 1)
-        flat = flat if top < 256 else flat.astype(np.uint16)
+        size = 1 if top < 256 else 2
+        flat = np.frombuffer(data[at + 1 : at + 1 + n * size], np.uint8 if size == 1 else ">u2", min(n, max(0, len(data) - at - 1) // size))
     if len(flat) != n:
         raise ValueError("image is cut short")
-    return flat.reshape((height, width) if depth == 1 else (height, width, 3))
+    if n and int(flat.max()) > top:
+        raise ValueError("a sample is above the largest")
+    full = 255 if top < 256 else 65535
+    if top != full:
+        flat = (flat.astype(np.int64) * full + top // 2) // top
+    return flat.astype(np.uint8 if full == 255 else np.uint16).reshape(shape)
 
 
 def encode_bmp(image: np.ndarray) -> bytes:
@@ -103,18 +118,23 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raise ValueError("not a BMP image")
     (start,) = struct.unpack_from("<I", data, 10)
     size, width, height, _, bits, packed = struct.unpack_from("<IiiHHI", data, 14)
-    if packed or bits not in (8, 24, 32) or width <= 0:
+    if packed or bits not in (8, 24, 32) or width <= 0 or size < 40:
         raise ValueError("this kind of BMP isn't supported")
     stride = -(-width * bits // 32) * 4
     rows = abs(height)
     if len(data) < start + stride * rows:
         raise ValueError("image is cut short")
-    body = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)[:, : width * bits // 8]
+    body = np.frombuffer(data[start : start + stride * rows], np.uint8).reshape(rows, stride)[:, : width * bits // 8]
     body = body if height < 0 else body[::-1]
     if bits > 8:
         return body.reshape(rows, width, bits // 8)[:, :, 2::-1]
     (used,) = struct.unpack_from("<I", data, 46)
-    palette = np.frombuffer(data, np.uint8, 4 * (used or 256), 14 + size).reshape(-1, 4)[:, 2::-1]
+    used = used or 256
+    if used > 256 or len(data) < 14 + size + 4 * used:
+        raise ValueError("palette is cut short")
+    palette = np.frombuffer(data[14 + size : 14 + size + 4 * used], np.uint8).reshape(-1, 4)[:, 2::-1]
+    if body.size and int(body.max()) >= used:
+        raise ValueError("a sample is beyond the palette")
     colours = palette[body]
     return colours[:, :, 0] if (palette == palette[:, :1]).all() else colours
 

@@ -12,6 +12,44 @@ from quernel.llm import media
 RNG = np.random.default_rng(11)
 
 
+def bmp(bits, rows, palette=4, height=None):
+    """A BMP with a palette of greys 10, 20, ...; rows from the bottom, each value once for every byte of a sample."""
+    body = b"".join(bytes(v for v in row for _ in range(bits // 8)).ljust(-(-len(row) * bits // 32) * 4, b"\0") for row in rows)
+    colours = b"".join(bytes([10 * k % 256] * 3 + [0]) for k in range(1, palette + 1)) if bits == 8 else b""
+    head = b"BM" + (54 + len(colours) + len(body)).to_bytes(4, "little") + bytes(4) + (54 + len(colours)).to_bytes(4, "little")
+    info = np.array([40, len(rows[0]), len(rows) if height is None else height], "<i4").tobytes() + np.array([1, bits], "<i2").tobytes() + np.array([0, len(body), 0, 0, palette if bits == 8 else 0, 0], "<i4").tobytes()
+    return head + info + colours + body
+
+
+def test_kinds_of_bmp():
+    assert media.decode(bmp(8, [[0, 1], [2, 3]])).tolist() == [[30, 40], [10, 20]]
+    assert media.decode(bmp(8, [[0, 1], [2, 3]], height=-2)).tolist() == [[10, 20], [30, 40]]
+    assert media.decode(bmp(32, [[7, 8]])).tolist() == [[[7] * 3, [8] * 3]]
+    assert media.decode(bmp(24, [[7, 8, 9]], height=-1)).tolist() == [[[7] * 3, [8] * 3, [9] * 3]]
+
+
+HEADS = [b"P1 2 2\n", b"P2 2 2 9\n", b"P3 1 2 300\n", b"P4 9 2\n", b"P5 2 2 255\n", b"P5 2 2 7\n", b"P6 1 2 65535\n", b"P5 ", b"P2 ", b"BM", bmp(8, [[0, 1]])[:54], bmp(8, [[0, 1]])[:28], bmp(24, [[0, 1]])[:54], bmp(32, [[0, 1]])[:46]]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.sampled_from(HEADS), st.one_of(st.binary(max_size=80), st.text("0123456789 -#\n", max_size=60).map(str.encode)))
+def test_any_bytes_give_an_image_or_a_value_error(head, rest):
+    try:
+        image = media.decode(head + rest)
+    except ValueError:
+        return
+    assert image.dtype in (np.uint8, np.uint16) and image.ndim in (2, 3)
+    if image.size:
+        assert media.area_resize(image, 3, 3).shape == (3, 3)
+
+
+def test_bad_images_give_nulls(spark):
+    rows = [(1, b"P2 1 1 9\n-3"), (2, bmp(8, [[3]], palette=2)), (3, None), (4, b"P5 1 1 255\n\x07"), (5, b"P3 1 1 255\n1 2 99999999999999999999")]
+    got = {r.k: r for r in media.media_columns(spark.createDataFrame(rows, "k int, media binary"), ["k"]).collect()}
+    assert all(got[k].payload is None and got[k].tile is None and got[k].dhash is None and got[k].height is None for k in (1, 2, 3, 5))
+    assert bytes(got[4].payload) == b"\x07" and got[4].height == 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 40), st.integers(1, 40), st.booleans(), st.booleans())
 def test_round_trips(height, width, colour, wide):
@@ -28,17 +66,20 @@ def test_round_trips(height, width, colour, wide):
     "data,want",
     [
         (b"P1\n# c\n3 2\n1 0 1\n010\n", [[0, 255, 0], [255, 0, 255]]),
-        (b"P2 2 1 9\n3 9", [[3, 9]]),
+        (b"P2 2 1 9\n3 9", [[85, 255]]),
         (b"P3\n1 1\n255\n1 2 3\n", [[[1, 2, 3]]]),
         (b"P4\n10 1\n\xaa\x80", [[0, 255, 0, 255, 0, 255, 0, 255, 0, 255]]),
         (b"P5 2 1 255\n\x01\x02", [[1, 2]]),
+        (b"P5 2 1 15\n\x05\x0f", [[85, 255]]),
+        (b"P5 1 1 300\n\x01\x2c", [[65535]]),
+        (b"P1 0 0", []),
     ],
 )
 def test_formats(data, want):
     assert media.decode(data).tolist() == want
 
 
-@pytest.mark.parametrize("data", [b"", b"P", b"P7\n1 1\n1\n", b"P5 2 2 255\n\x01", b"P5 2", b"P5 #", b"P4\n9 2\n\x00", b"BM", b"BM" + b"\0" * 60, b"P2 2 2 9\n1"])
+@pytest.mark.parametrize("data", [b"", b"P", b"P7\n1 1\n1\n", b"P5 2 2 255\n\x01", b"P5 2", b"P5 #", b"P4\n9 2\n\x00", b"BM", b"BM" + b"\0" * 60, b"P2 2 2 9\n1", b"P2 1 1 9\n-3", b"P2 1 1 9\n10", b"P3 1 1 255\n1 2 99999999999999999999999", b"P2 1 1 255\n1_0", b"P5 1 1 15\n\x10", b"P5 99999999999 1 255\n", b"P6 999999 999999 255\n", bmp(8, [[3]], palette=2), bmp(8, [[0]], palette=300), bmp(24, [[0]])[:-4]])
 def test_broken_images(data):
     with pytest.raises(ValueError):
         media.decode(data)

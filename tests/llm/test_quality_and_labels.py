@@ -55,6 +55,62 @@ def test_out_of_place_distance():
     assert sorted(language_id.gram_codes("A1a").tolist()) == sorted([97, 97, 32 << 21 | 97, 97 << 21 | 32, 32 << 21 | 97, 97 << 21 | 32, 32 << 42 | 97 << 21 | 32, 32 << 42 | 97 << 21 | 32])
 
 
+def plain_grams(text):
+    """Letter n-grams of 1 to 3, words padded by a blank, as (code points, count)."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    line = " " + " ".join(words) + " "
+    grams = [c for c in line if c != " "] + [line[k : k + 2] for k in range(len(line) - 1)] + [line[k : k + 3] for k in range(len(line) - 2) if line[k + 1] != " "]
+    return Counter(grams) if words else Counter()
+
+
+def plain_code(gram):
+    return sum(ord(c) << 21 * (len(gram) - 1 - k) for k, c in enumerate(gram))
+
+
+def plain_ranks(counts, top):
+    return sorted((plain_code(g) for g in counts), key=lambda c: (-by_code(counts)[c], c))[:top]
+
+
+def by_code(counts, kept={}):
+    if kept.get("of") is not counts:
+        kept.update(of=counts, codes={plain_code(g): n for g, n in counts.items()})
+    return kept["codes"]
+
+
+def test_distances_equal_brute_force(spark, monkeypatch):
+    """Profiles, out-of-place distance and choice, by definition; equal under 1 and 50 partitions."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("length(text) between 1 and 3000").limit(120)
+    rows = docs.collect()
+    held = held_out("doc_id", 4, 2)
+    learned = [language_id.profiles(language_id.training_rows(docs.repartition(n), "doc_id", "lang", held), "lang", "text") for n in (1, 50)]
+    counts = {}
+    for r in rows:
+        if r.lang is not None and crc_part(r.doc_id, 4) != 2:
+            counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    want = {lang: plain_ranks(c, language_id.PROFILE) for lang, c in counts.items()}
+    for got in learned:
+        assert {k: v.tolist() for k, v in got.items()} == want
+    found = {r.doc_id: r for r in language_id.identify(docs, learned[0]).collect()}
+    for r in rows:
+        own = plain_ranks(plain_grams(r.text), language_id.PROFILE)
+        if not own:
+            assert found[r.doc_id].lang_pred == "und"
+            continue
+        far = {}
+        for lang in sorted(want):
+            place = {c: k for k, c in enumerate(want[lang])}
+            far[lang] = sum(abs(place[c] - k) if c in place else language_id.PROFILE for k, c in enumerate(own)) / (language_id.PROFILE * len(own))
+        assert found[r.doc_id].lang_pred == min(far, key=far.get)
+        assert np.isclose(found[r.doc_id].distance, min(far.values()))
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    docs = spark.createDataFrame([(k, "text", f"l{k}") for k in range(4)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.training_rows(docs, "doc_id", "lang", F.lit(False))
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(3)
     sizes = [3, 1, 5, 4]
