@@ -35,7 +35,7 @@ def build_index(spark: SparkSession, source: str, target: str, show_stats: bool
     meta = index_store.describe(spark, target).first()
     lines = [f"documents: {meta.n_docs}", f"terms: {meta.n_terms}", f"time: {took * 1000:.0f} ms", f"rate: {meta.n_docs / max(took, 1e-9):.0f} documents/s"]
     if show_stats:
-        top = index_store.load(spark, target).postings.orderBy(F.desc("df"), "term").select("term", "df").limit(20)
+        top = ix.top_terms(index_store.load(spark, target), 20)
         lines += [f"{k}. {r.term}: {r.df}" for k, r in enumerate(top.collect(), 1)]
     return lines
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.operators.sites import SITES
@@ -31,14 +31,18 @@ def stamped(docs: DataFrame) -> DataFrame:
 
 
 def first_per_url(docs: DataFrame, order: list[str]) -> DataFrame:
-    """The first row of each URL in the given order; rows without a URL are one group."""
-    row = F.row_number().over(Window.partitionBy("url").orderBy(*order))
-    return docs.withColumn("_row", row).filter("_row = 1").drop("_row")
+    """The first row of each URL in the given order; rows without a URL are one group.
+
+    Partial minima go before the shuffle, so a group of any size, such as that without a URL, is a few rows by then.
+    """
+    first = docs.groupBy("url").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*order)).alias("row"))
+    return first.select("row.*")
 
 
 def new_urls(batch: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
-    """Rows of a batch whose URL isn't known yet, one per URL."""
-    return first_per_url(batch, order).join(known.select("url").distinct(), "url", "left_anti").select(*batch.columns)
+    """Rows of a batch whose URL isn't known yet, one per URL. No URL is a value like others: it is known once a row without one is."""
+    seen = known.select(F.col("url").alias("seen_url")).distinct()
+    return first_per_url(batch, order).join(seen, F.col("url").eqNullSafe(F.col("seen_url")), "left_anti")
 
 
 def source_growth(before: DataFrame, after: DataFrame, sources: DataFrame | None = None) -> DataFrame:

@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.operators.index import Index
-from quernel.plans.compile import COMPATIBLE, Flags, needs_all_documents, predicate, resolve, stems_of
+from quernel.plans.compile import COMPATIBLE, Flags, folded, needs_all_documents, predicate, resolve, stems_of
 
 LIMIT = 50
 PAGE = 50
+#: Most stems that get a flag column each.
+WIDE = 64
+#: Most rows that are handed to the join with the documents by broadcast; more are joined as Spark sees fit.
+FEW = 10_000
 
 
-def _flagged(index: Index, stems: list[str], everything: bool) -> tuple[DataFrame, dict[str, str]]:
-    """One row per document with a flag per stem; with `everything`, also for documents that have none of them."""
-    names = {s: f"has_{k}" for k, s in enumerate(stems)}
+def _flagged(index: Index, stems: list[str], everything: bool) -> tuple[DataFrame, Callable[[list[str], bool], Column]]:
+    """One row per document, and how to read from it whether it has all, or any, of some stems.
+
+    Up to WIDE stems are a flag each; more are a set of those found. With `everything`, also for documents that have none.
+    """
     if not stems:
-        return index.docs.select("doc_id"), names
-    hits = index.lookup(stems).groupBy("doc_id").agg(*[F.bool_or(F.col("term") == s).alias(n) for s, n in names.items()])
+        return index.docs.select("doc_id"), lambda own, every: F.lit(every)
+    names = {s: f"has_{k}" for k, s in enumerate(stems)}
+    if len(stems) <= WIDE:
+        flags = [F.bool_or(F.col("term") == s).alias(n) for s, n in names.items()]
+        has = lambda own, every: folded([F.coalesce(F.col(names[s]), F.lit(False)) for s in own], every)
+    else:
+        flags = [F.collect_set("term").alias("found")]
+        found = F.coalesce("found", F.array().cast("array<string>"))
+        listed = lambda own: F.split(F.lit(" ".join(own)), " ")  # noqa: E731  stems are letters
+        has = lambda own, every: F.size(F.array_except(listed(own), found)) == 0 if every else F.arrays_overlap(listed(own), found)
+    hits = index.lookup(stems).groupBy("doc_id").agg(*flags)
     if everything:
         hits = index.docs.select("doc_id").join(hits, "doc_id", "left")
-    return hits, names
+    return hits, has
 
 
 def matches(index: Index, tree: Flags) -> DataFrame:
@@ -28,8 +45,8 @@ def matches(index: Index, tree: Flags) -> DataFrame:
     stems, everything = sorted(stems_of(tree)), needs_all_documents(tree)
     if not stems and not everything:
         return index.docs.select("doc_id").filter(F.lit(False))
-    rows, names = _flagged(index, stems, everything)
-    return rows.filter(predicate(tree, lambda s: F.coalesce(F.col(names[s]), F.lit(False)))).select("doc_id")
+    rows, has = _flagged(index, stems, everything)
+    return rows.filter(predicate(tree, has)).select("doc_id")
 
 
 def search(index: Index, query: str, stem_passes: int = COMPATIBLE) -> DataFrame:
@@ -54,11 +71,11 @@ def with_documents(index: Index, hits: DataFrame) -> DataFrame:
 
 
 def first(index: Index, hits: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """The first `limit` hits by id with their documents; only those few ids meet the documents, broadcast."""
+    """The first `limit` hits by id with their documents; only those ids meet the documents."""
     if limit < 0:
         raise ValueError("limit must not be negative")
     few = hits.orderBy("doc_id").limit(limit)
-    return index.docs.join(F.broadcast(few), "doc_id").orderBy("doc_id")
+    return index.docs.join(F.broadcast(few) if limit <= FEW else few, "doc_id").orderBy("doc_id")
 
 
 def page(index: Index, hits: DataFrame, number: int = 1, size: int = PAGE) -> DataFrame:
@@ -66,7 +83,7 @@ def page(index: Index, hits: DataFrame, number: int = 1, size: int = PAGE) -> Da
     if number < 1 or size < 1:
         raise ValueError("pages count from 1 and hold at least one row")
     few = hits.orderBy("doc_id").offset((number - 1) * size).limit(size)
-    return index.docs.join(F.broadcast(few), "doc_id").orderBy("doc_id")
+    return index.docs.join(F.broadcast(few) if size <= FEW else few, "doc_id").orderBy("doc_id")
 
 
 def overflow(hits: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -80,8 +97,8 @@ def batch(index: Index, queries: dict[str, str], stem_passes: int = COMPATIBLE)
     if not trees:
         return index.docs.select(F.lit("").alias("qid"), "doc_id").filter(F.lit(False))
     stems = sorted(set().union(*map(stems_of, trees.values())))
-    rows, names = _flagged(index, stems, any(map(needs_all_documents, trees.values())))
-    found = [F.when(predicate(t, lambda s: F.coalesce(F.col(names[s]), F.lit(False))), F.lit(q)) for q, t in trees.items()]
+    rows, has = _flagged(index, stems, any(map(needs_all_documents, trees.values())))
+    found = [F.when(predicate(t, has), F.lit(q)) for q, t in trees.items()]
     return rows.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("qid")).select("qid", "doc_id")
 
 

@@ -9,6 +9,8 @@ from quernel.functions.text import counted_words
 from quernel.sources.layout import spread
 
 MIB = 1024 * 1024
+#: Ranks in one piece of the Zipf fit.
+PIECE = 1 << 16
 
 
 def _length(c: str) -> Column:
@@ -92,9 +94,13 @@ def rank_groups(freq: DataFrame) -> DataFrame:
 def zipf_fit(freq: DataFrame) -> DataFrame:
     """(n, alpha, c, r2): least squares of ln freq on ln rank. r2 is null where all frequencies are equal.
 
-    Ties don't matter to the fit, so ranks are made from the counts of each frequency, without a global sort.
+    Ties don't matter to the fit, so ranks are made from the counts of each frequency, without a global sort: ranges of ranks,
+    in pieces of PIECE at most, are dealt out and summed where they lie.
     """
-    points = rank_groups(freq).select(F.log("freq").alias("y"), F.explode(F.sequence(F.col("above") + 1, F.col("above") + F.col("n"))).alias("rank")).select("y", F.log("rank").alias("x"))
+    first, end = F.col("above") + 1, F.col("above") + F.col("n")
+    pieces = rank_groups(freq).select("freq", end.alias("end"), F.explode(F.sequence(first, end, F.lit(PIECE))).alias("low"))
+    pieces = pieces.repartition(freq.sparkSession.sparkContext.defaultParallelism, "low")
+    points = pieces.select(F.log("freq").alias("y"), F.explode(F.sequence("low", F.least(F.col("low") + (PIECE - 1), "end"))).alias("rank")).select("y", F.log("rank").alias("x"))
     fit = points.agg(F.count("*").alias("n"), (-F.regr_slope("y", "x")).alias("alpha"), F.exp(F.regr_intercept("y", "x")).alias("c"), F.regr_r2("y", "x").alias("r2"), (F.min("y") == F.max("y")).alias("flat"))
     return fit.select("n", "alpha", "c", F.when(~F.col("flat"), F.col("r2")).alias("r2"))
 

@@ -32,7 +32,18 @@ class Nothing:
     pass
 
 
-Flags = Has | Nothing | Not | And | Or
+@dataclass(frozen=True)
+class All:
+    parts: tuple[Flags, ...]
+
+
+@dataclass(frozen=True)
+class Any:
+    parts: tuple[Flags, ...]
+
+
+#: A chain of one operator is one node, so a tree is as deep as its brackets, however long the query is.
+Flags = Has | Nothing | Not | All | Any
 
 
 def resolve(query: str, stem_passes: int = COMPATIBLE) -> Flags:
@@ -40,10 +51,7 @@ def resolve(query: str, stem_passes: int = COMPATIBLE) -> Flags:
     node = parse(query)
     if node is None:
         words = tokens(query)
-        tree: Flags = Has(stem(words[0])) if words else Nothing()
-        for w in words[1:]:
-            tree = And(tree, Has(stem(w)))
-        return tree
+        return All(tuple(Has(x) for x in dict.fromkeys(map(stem, words)))) if words else Nothing()
 
     def walk(n: Node) -> Flags:
         if isinstance(n, Term):
@@ -51,7 +59,12 @@ def resolve(query: str, stem_passes: int = COMPATIBLE) -> Flags:
             return Has(stem(words[0], stem_passes)) if words else Nothing()
         if isinstance(n, Not):
             return Not(walk(n.of))
-        return type(n)(walk(n.left), walk(n.right))
+        kind, parts = type(n), []
+        while isinstance(n, kind):  # the parser chains to the left
+            parts.append(walk(n.right))
+            n = n.left
+        parts.append(walk(n))
+        return (All if kind is And else Any)(tuple(dict.fromkeys(reversed(parts))))
 
     return walk(node)
 
@@ -61,7 +74,7 @@ def stems_of(tree: Flags) -> set[str]:
         return {tree.stem}
     if isinstance(tree, Nothing):
         return set()
-    return stems_of(tree.of) if isinstance(tree, Not) else stems_of(tree.left) | stems_of(tree.right)
+    return stems_of(tree.of) if isinstance(tree, Not) else set().union(*map(stems_of, tree.parts))
 
 
 def holds(tree: Flags, has: Callable[[str], bool]) -> bool:
@@ -71,9 +84,7 @@ def holds(tree: Flags, has: Callable[[str], bool]) -> bool:
         return False
     if isinstance(tree, Not):
         return not holds(tree.of, has)
-    if isinstance(tree, And):
-        return holds(tree.left, has) and holds(tree.right, has)
-    return holds(tree.left, has) or holds(tree.right, has)
+    return (all if isinstance(tree, All) else any)(holds(x, has) for x in tree.parts)
 
 
 def needs_all_documents(tree: Flags) -> bool:
@@ -81,12 +92,23 @@ def needs_all_documents(tree: Flags) -> bool:
     return holds(tree, lambda _: False)
 
 
-def predicate(tree: Flags, flag: Callable[[str], Column]) -> Column:
+def folded(columns: list[Column], every: bool) -> Column:
+    """Their conjunction or disjunction, joined in halves: an expression over n columns is log2(n) deep."""
+    if len(columns) == 1:
+        return columns[0]
+    left, right = folded(columns[: len(columns) // 2], every), folded(columns[len(columns) // 2 :], every)
+    return left & right if every else left | right
+
+
+def predicate(tree: Flags, has: Callable[[list[str], bool], Column]) -> Column:
+    """The tree as a Column; has(stems, every) tells whether a document has all, or any, of some stems."""
     if isinstance(tree, Has):
-        return flag(tree.stem)
+        return has([tree.stem], True)
     if isinstance(tree, Nothing):
         return F.lit(False)
     if isinstance(tree, Not):
-        return ~predicate(tree.of, flag)
-    left, right = predicate(tree.left, flag), predicate(tree.right, flag)
-    return left & right if isinstance(tree, And) else left | right
+        return ~predicate(tree.of, has)
+    every = isinstance(tree, All)
+    stems = [x.stem for x in tree.parts if isinstance(x, Has)]
+    rest = [predicate(x, has) for x in tree.parts if not isinstance(x, Has)]
+    return folded(([has(stems, every)] if stems else []) + rest, every)

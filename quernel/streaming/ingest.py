@@ -26,7 +26,10 @@ def kept(docs: DataFrame) -> DataFrame:
 
 
 def ingest_once(docs: DataFrame, target: str, checkpoint: str, key: str = "url") -> StreamingQuery:
-    """Append documents with a key that no run before had; the keys are kept as state, as many as there are documents."""
+    """Append documents with a key that no run before had; the keys are kept as state, as many as there are documents.
+
+    Of rows with one key in the same micro-batch any may win; where an order decides, use ingest_against_table.
+    """
     stream = docs.dropDuplicates([key]).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
     query = stream.outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -79,6 +79,63 @@ def test_one_shuffle_per_query(spark, tiny):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Python" not in plan
 
 
+def letters(k):
+    out = ""
+    for _ in range(4):
+        out, k = out + "bcdfghjklmnpqrstvw"[k % 18], k // 18
+    return out
+
+
+def test_queries_of_ten_thousand_words(spark, tmp_path):
+    words = [letters(k) for k in range(10_000)]
+    docs = spark.createDataFrame([(0, "", " ".join(words)), (1, "", " ".join(words[:-1])), (2, "", words[7]), (3, "", "zzzz")], "doc_id long, title string, text string")
+    index_store.save(ix.build(docs), str(tmp_path / "ix"))
+    index = index_store.load(spark, str(tmp_path / "ix"))
+    for join, want in ((" ", [0]), (" && ", [0]), (" || ", [0, 1, 2]), (" — ", [0])):
+        assert ids(search.search(index, join.join(words), 1)) == want
+    assert ids(search.search(index, "!(" + " || ".join(words) + ")", 1)) == [3]
+    assert ids(search.search(index, " ".join(words[:-1]) + " && !" + words[-1], 1)) == [1]
+    assert sorted(tuple(r) for r in search.batch(index, {"a": " ".join(words), "b": words[7]}, 1).collect()) == [("a", 0), ("b", 0), ("b", 1), ("b", 2)]
+
+
+def test_posting_blocks(spark, tmp_path, monkeypatch):
+    docs = spark.range(0, 40, 3).select(F.col("id").alias("doc_id"), F.lit("").alias("title"), F.lit("same words").alias("text"))
+    monkeypatch.setattr(ix, "BLOCK", 8)
+    built = ix.build(docs)
+    blocks = ix.posting_blocks(built).filter("term = 'word'").orderBy("block").collect()
+    assert [r.block for r in blocks] == [0, 1, 2, 3, 4] and max(len(r.doc_ids) for r in blocks) <= 8
+    index_store.save(built, str(tmp_path / "ix"))
+    stored = index_store.load(spark, str(tmp_path / "ix"))
+    for index in (built, stored):
+        lists = {r.term: (r.doc_ids, r.df) for r in ix.posting_lists(index).collect()}
+        assert lists["word"] == (list(range(0, 40, 3)), 14)
+        assert {r.term: r.df for r in ix.document_frequency(index).collect()} == {t: 14 for t in lists}
+    assert index_store.describe(spark, str(tmp_path / "ix")).first()[2:] == (2, 14)
+
+
+def test_frequencies_shuffle_counts_only(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", F.lit("").alias("title"), "text")
+    plan = ix.document_frequency(ix.build(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_count(1)" in plan
+
+
+def test_zipf_fit_in_pieces(spark, monkeypatch):
+    freq = spark.createDataFrame([(f"t{k}", 1 + 90 // (k + 1)) for k in range(95)], "term string, freq long")
+    whole = stats.zipf_fit(freq).first()
+    monkeypatch.setattr(stats, "PIECE", 7)
+    parts = stats.zipf_fit(freq).first()
+    assert whole.n == parts.n == 95
+    assert all(abs(whole[k] - parts[k]) < 1e-9 for k in ("alpha", "c", "r2"))
+
+
+def test_rows_without_url(spark):
+    rows = spark.createDataFrame([(3, None), (1, None), (2, "a"), (4, "a"), (5, "b")], "seq int, url string")
+    assert sorted(r.seq for r in ingest.first_per_url(rows, ["seq"]).collect()) == [1, 2, 5]
+    known = spark.createDataFrame([(None, 0), ("b", 0)], "url string, seq int")
+    assert [tuple(r) for r in ingest.new_urls(rows, known, ["seq"]).collect()] == [(2, "a")]
+    assert sorted(r.seq for r in ingest.new_urls(rows, known.filter("url is not null"), ["seq"]).collect()) == [1, 2]
+
+
 def test_small_inputs_only_are_spread(spark):
     from quernel.sources.layout import spread
 
