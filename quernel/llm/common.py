@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 import zlib
@@ -29,10 +30,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a new local one only where none is set, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); a new local one only in local mode, where none is set, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="quernel-")
@@ -79,7 +82,7 @@ def _release() -> None:
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema) in batches of bounded bytes."""
+    """df.mapInArrow(run, schema) in batches of bounded bytes. The bound is a setting of the session, read when a query runs, so it stays set."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +161,8 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
 
     Alternating star contraction; each round is written, so its lineage is one read. Rows never grow
     beyond the edges, nothing is gathered on one node: each star step is a minimum joined back.
-    The rounds end when a round changes nothing (checked by an order-free digest of the edges).
+    The rounds end when a round changes nothing (checked by an order-free digest of the edges); they grow with the logarithm
+    of a component's size, and not to have ended after max_rounds is an error, not a result.
     """
 
     def contract(batches):
