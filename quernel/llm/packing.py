@@ -12,6 +12,7 @@ table gives no row; columns other than the two named are ignored.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import os
 import re
@@ -55,25 +56,28 @@ class WordIds:
         self.library.no_padding()
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
-        self.model, self.symbols = self.library.model, byte_symbols()
+        self.model, self.symbols = self.library.model, dict(enumerate(byte_symbols()))
         self.clear()
 
     def clear(self) -> None:
         self.rows, self.lists = Rows(), Lists()
+        self.parts: dict[str, list[int]] = {}  # ids of what SPLIT makes of strings: marks and words beside them
 
     def word(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word if word.isascii() else "".join([self.symbols[b] for b in word.encode()]))]
+        return [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols))]
 
     def learn(self, new: list[str]) -> None:
-        known, found = self.lists.count, []
+        known, found, parts = self.lists.count, [], self.parts
         for chunk in new:
             if chunk.isalpha():
                 found.append(self.word(chunk))
                 continue
             ids: list[int] = []
             for w in SPLIT.findall(chunk):
-                row = self.rows.get(w, known)
-                ids += self.lists.one(row) if row < known else self.word(w)
+                if (own := parts.get(w)) is None:
+                    row = self.rows.get(w, known)
+                    own = parts[w] = self.lists.one(row) if row < known else self.word(w)
+                ids += own
             found.append(ids)
         n = np.fromiter(map(len, found), np.int64, len(found))
         self.lists.add(n, np.fromiter(chain.from_iterable(found), np.uint16, int(n.sum())))
@@ -88,7 +92,13 @@ class WordIds:
         known = len(self.rows)
         rows = np.fromiter(map(self.rows.__getitem__, different), np.int64, len(different))
         if len(self.rows) > known:
-            self.learn(list(islice(reversed(self.rows), len(self.rows) - known))[::-1])
+            collects = gc.isenabled()
+            gc.disable()  # many small lists and no cycle among them: nothing to find
+            try:
+                self.learn(list(islice(reversed(self.rows), len(self.rows) - known))[::-1])
+            finally:
+                if collects:
+                    gc.enable()
         n, flat = self.lists.gather(rows[coded.indices.to_numpy()])
         sizes = parts.value_lengths().to_numpy().astype(np.int64)
         own = iter(np.split(flat, np.cumsum(sums_of(n, sizes))[:-1]) if len(sizes) else [])
