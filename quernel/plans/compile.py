@@ -46,12 +46,18 @@ class Any:
 Flags = Has | Nothing | Not | All | Any
 
 
+def chained(kind: type, parts: list[Flags]) -> Flags:
+    """One node over the different parts; a single one stands for itself."""
+    different = tuple(dict.fromkeys(parts))
+    return different[0] if len(different) == 1 else kind(different)
+
+
 def resolve(query: str, stem_passes: int = COMPATIBLE) -> Flags:
     """The query's tree over stems. Only the first word inside a term counts; a term without a word has no document."""
     node = parse(query)
     if node is None:
         words = tokens(query)
-        return All(tuple(Has(x) for x in dict.fromkeys(map(stem, words)))) if words else Nothing()
+        return chained(All, [Has(stem(w)) for w in words]) if words else Nothing()
 
     def walk(n: Node) -> Flags:
         if isinstance(n, Term):
@@ -64,7 +70,7 @@ def resolve(query: str, stem_passes: int = COMPATIBLE) -> Flags:
             parts.append(walk(n.right))
             n = n.left
         parts.append(walk(n))
-        return (All if kind is And else Any)(tuple(dict.fromkeys(reversed(parts))))
+        return chained(All if kind is And else Any, parts[::-1])
 
     return walk(node)
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quernel.plans.compile import Has, Nothing, needs_all_documents, resolve, stems_of
+from quernel.plans.compile import All, Any, Has, Nothing, needs_all_documents, resolve, stems_of
 from quernel.plans.query import And, Not, Or, Term, parse
 
 A, B, C = Term("a"), Term("b"), Term("c")
@@ -61,6 +61,8 @@ def test_resolve():
     assert resolve("мозг-сердце") == Has("мозг")
     assert resolve("!x &&") == Has("x")
     assert stems_of(resolve("a1 || (b && !a)")) == {"a", "b"}
+    assert resolve("a b c") == All((Has("a"), Has("b"), Has("c"))) and resolve("a && a") == Has("a")
+    assert resolve("a || b || !c") == Any((Has("a"), Has("b"), Not(Has("c"))))
 
 
 @pytest.mark.parametrize("query,needs", [("a", False), ("!a", True), ("!a && b", False), ("!a || b", True), ("!!a", False), ("!19", True)])
