@@ -156,11 +156,34 @@ def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[root[keep]]
 
 
+#: Parts that the rows of one key are dealt to where a key may hold a large share of all rows; a set of parts is the bits of a long.
+SALTS = 64
+
+
+def salt(by: str) -> F.Column:
+    return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+
+
+def salts_of(mask: str) -> F.Column:
+    """Rows of the salts whose bits are set in the long `mask`."""
+    return F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (shiftrightunsigned({mask}, s) & 1L) = 1L)"))
+
+
+def least_of(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(of, part, least): the smallest `value` of each `key`, once for each salt that the key's values have.
+
+    Joined on key and salt(value), so that a key with a large share of all rows is spread over SALTS parts.
+    """
+    whole = rows.groupBy(key).agg(F.min(value).alias("least"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask"))
+    return whole.select(F.col(key).alias("of"), salts_of("mask").alias("part"), "least")
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (u, v): component is the smallest node reachable.
 
     Alternating star contraction; each round is written, so its lineage is one read. Rows never grow
-    beyond the edges, nothing is gathered on one node: each star step is a minimum joined back.
+    beyond the edges, nothing is gathered on one node: each star step is a minimum (partial sums first) joined
+    back by node and salt, so that the centre of a large star is many parts.
     The rounds end when a round changes nothing (checked by an order-free digest of the edges); they grow with the logarithm
     of a component's size, and not to have ended after max_rounds is an error, not a result.
     """
@@ -173,15 +196,15 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
 
     e = in_arrow(edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).filter("u <> v"), contract, "u long, v long").distinct()
     e = cut(e, name)
+    here = (F.col("x") == F.col("of")) & (F.col("salt") == F.col("part"))
     seen = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of x goes to the smallest of x and its neighbours
-        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("lx"), F.least("lx", "m").alias("m"))
-        large = both.filter("y > x").join(low, F.col("x") == F.col("lx")).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y"))).withColumn("salt", salt("y"))
+        large = both.filter("y > x").join(least_of(both, "x", "y"), here).select(F.col("y").alias("x"), F.least("x", "least").alias("y")).distinct().withColumn("salt", salt("y"))
         # small star: every smaller neighbour of x, and x, goes to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("lu"), "m")
-        small = large.join(least, F.col("u") == F.col("lu")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        pairs = F.array(F.struct(F.col("y").alias("u"), F.col("least").alias("v")), F.struct(F.col("x").alias("u"), F.col("least").alias("v")))
+        small = large.join(least_of(large, "x", "y"), here).select(F.explode(pairs).alias("e")).select("e.*").filter("u <> v").distinct()
         new = cut(small, name)
         digest = new.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         forget(e)
