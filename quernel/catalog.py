@@ -336,8 +336,8 @@ def _stream(spark, sf_dir):
     for again in (False, True):
         if again:
             rows.filter("page_id % 3 = 0").write.mode("append").parquet(f"{at}/in")
-        stream.ingest_once(stream.read_stream(spark, f"{at}/in", rows.schema), f"{at}/out", f"{at}/state")
-    return spark.read.schema(rows.schema).parquet(f"{at}/out")
+        stream.ingest_once(stream.read_stream(spark, f"{at}/in", rows.schema), f"{at}/out", f"{at}/state", order=["page_id"])
+    return spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{at}/out")
 
 
 def _stream_table(spark, sf_dir):

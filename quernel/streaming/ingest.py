@@ -25,13 +25,22 @@ def kept(docs: DataFrame) -> DataFrame:
     return docs.filter((F.coalesce("title", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != "") & (F.length("text") >= LEAST_CHARS))
 
 
-def ingest_once(docs: DataFrame, target: str, checkpoint: str, key: str = "url") -> StreamingQuery:
+def ingest_once(docs: DataFrame, target: str, checkpoint: str, key: str = "url", order: list[str] | None = None) -> StreamingQuery:
     """Append documents with a key that no run before had; the keys are kept as state, as many as there are documents.
 
-    Of rows with one key in the same micro-batch any may win; where an order decides, use ingest_against_table.
+    Without an order any row of a key may win in its first micro-batch. With one the first row wins; it is kept in state beside
+    its key, and each micro-batch writes its own folder. For wide rows in order, ingest_against_table needs no state.
     """
-    stream = docs.dropDuplicates([key]).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
-    query = stream.outputMode("append").trigger(availableNow=True).start()
+    if order is None:
+        stream = docs.dropDuplicates([key]).writeStream.format("parquet").option("path", target).outputMode("append")
+    else:
+        row, place = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*order)
+        # the time is one value in a micro-batch, the same when it is run again
+        rows = docs.select(F.col(key).alias("key"), row.alias("row"), place.alias("place"), F.current_timestamp().alias("at"))
+        first = rows.groupBy("key").agg(F.min_by("row", "place").alias("row"), F.min("at").alias("since"), F.max("at").alias("until"))
+        add = lambda batch, number: batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        stream = first.filter("since = until").select("row.*").writeStream.outputMode("update").foreachBatch(add)
+    query = stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 

@@ -5,11 +5,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quernel import api, cli
+from quernel import api, catalog, cli
 from quernel.operators import index as ix
 from quernel.operators import ingest, pages, search, stats
 from quernel.sources import corpus as co
 from quernel.sources import index_store
+from quernel.streaming import ingest as stream
 
 TWO = [("Test Article", "Hello world test", "http://test/1", "test", "Test"), ("Another Article", "Another test hello", "http://test/2", "test", None)]
 
@@ -136,6 +137,24 @@ def test_rows_without_url(spark):
     assert sorted(r.seq for r in ingest.new_urls(rows, known.filter("url is not null"), ["seq"]).collect()) == [1, 2]
 
 
+def test_repeated_urls_in_streams(spark, tmp_path):
+    pages_of = [(i, "u" if i % 3 else None if i else "v") for i in reversed(range(12))]
+    spark.createDataFrame(pages_of, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    for name in ("incremental_dedupe_stream", "incremental_dedupe_table"):
+        rows = catalog.queries()[name](spark, str(tmp_path)).collect()
+        assert sorted((r.page_id, r.url or "") for r in rows) == [(0, "v"), (1, "u"), (3, "")]
+
+
+def test_first_of_a_url_over_runs(spark, tmp_path):
+    at = {k: f"{tmp_path}/{k}" for k in ("in", "out", "state")}
+    for rows in ([(5, "a"), (4, "a"), (9, None)], [(3, "a"), (8, None), (7, "b"), (6, "b")], [(1, "b"), (2, "c")]):
+        df = spark.createDataFrame(rows, "n long, url string")
+        df.coalesce(1).write.mode("append").parquet(at["in"])
+        stream.ingest_once(stream.read_stream(spark, at["in"], df.schema, files_per_batch=1), at["out"], at["state"], order=["n"])
+    got = spark.read.option("recursiveFileLookup", True).parquet(at["out"]).collect()
+    assert sorted((r.n, r.url or "") for r in got) == [(2, "c"), (4, "a"), (6, "b"), (9, "")]
+
+
 def test_small_inputs_only_are_spread(spark):
     from quernel.sources.layout import spread
 
