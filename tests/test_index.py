@@ -145,6 +145,11 @@ def test_repeated_urls_in_streams(spark, tmp_path):
         assert sorted((r.page_id, r.url or "") for r in rows) == [(0, "v"), (1, "u"), (3, "")]
 
 
+def test_url_known_by_a_later_page(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b"), (4, "a"), (6, "b")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in catalog.queries()["new_urls_against_table"](spark, str(tmp_path)).collect()] == [(2, "b", 2)]
+
+
 def test_first_of_a_url_over_runs(spark, tmp_path):
     at = {k: f"{tmp_path}/{k}" for k in ("in", "out", "state")}
     for rows in ([(5, "a"), (4, "a"), (9, None)], [(3, "a"), (8, None), (7, "b"), (6, "b")], [(1, "b"), (2, "c")]):
