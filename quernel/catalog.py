@@ -263,20 +263,21 @@ def _postings_list(spark, sf_dir):
 def _two_lists(spark, sf_dir):
     built = stored(spark, sf_dir)
     ids = lambda t: F.sort_array(F.collect_set(F.when(F.col("term") == t, F.col("doc_id"))))
-    return built.lookup(["the", "que"]).agg(ids("the").alias("a"), ids("que").alias("b")), built.docs.agg(F.count("*").alias("n"))
+    return built.lookup(["the", "que"]).agg(ids("the").alias("a"), ids("que").alias("b"))
 
 
 def _intersect(spark, sf_dir):
-    return _two_lists(spark, sf_dir)[0].select(_joined(ix.intersect(F.col("a"), F.col("b"))).alias("doc_ids"))
+    return _two_lists(spark, sf_dir).select(_joined(ix.intersect(F.col("a"), F.col("b"))).alias("doc_ids"))
 
 
 def _union(spark, sf_dir):
-    return _two_lists(spark, sf_dir)[0].select(_joined(ix.union(F.col("a"), F.col("b"))).alias("doc_ids"))
+    return _two_lists(spark, sf_dir).select(_joined(ix.union(F.col("a"), F.col("b"))).alias("doc_ids"))
 
 
 def _negate(spark, sf_dir):
-    lists, n = _two_lists(spark, sf_dir)
-    return lists.crossJoin(n).select(_joined(ix.negate(F.col("a"), F.col("n"))).alias("doc_ids"))
+    """Against the ids that the index holds: they may have gaps, and documents without text aren't in it."""
+    everything = stored(spark, sf_dir).docs.agg(F.sort_array(F.collect_set("doc_id")).alias("every"))
+    return _two_lists(spark, sf_dir).crossJoin(everything).select(_joined(ix.without(F.col("every"), F.col("a"))).alias("doc_ids"))
 
 
 def _with_hits(then):

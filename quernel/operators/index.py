@@ -103,4 +103,9 @@ def union(a: Column, b: Column) -> Column:
 def negate(a: Column, n_docs: Column) -> Column:
     """Ascending ids below n_docs that aren't in the posting list."""
     everything = F.when(n_docs > 0, F.sequence(F.lit(0).cast("long"), n_docs.cast("long") - 1)).otherwise(F.array().cast("array<long>"))
+    return without(everything, a)
+
+
+def without(everything: Column, a: Column) -> Column:
+    """Ids of the ascending list of all documents that aren't in the posting list; ids may have gaps."""
     return F.array_except(everything, a)

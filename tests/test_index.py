@@ -62,6 +62,12 @@ def test_posting_arrays(spark):
     assert all(r.z == [] for r in rows)
 
 
+def test_negation_over_gaps_and_empty_texts(spark, tmp_path):
+    rows = [(3, "que"), (5, "the end"), (8, ""), (9, None), (40, "und")]
+    spark.createDataFrame([(i, x, "en", "s") for i, x in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.doc_ids for r in catalog.queries()["posting_negate_array"](spark, str(tmp_path)).collect()] == ["3,40"]
+
+
 def test_limit_and_pages(spark):
     docs = spark.range(120).select(F.col("id").alias("doc_id"), F.lit("t").alias("title"), F.lit("word").alias("text"))
     index = ix.build(docs)
