@@ -249,6 +249,12 @@ def test_ingest_rules(spark):
     assert {r.source: (r.added, r.blocked) for r in ingest.blocked_sources(growth).collect()} == {"a": (4, False), "b": (2, True)}
 
 
+def test_entities_without_semicolon(spark):
+    rows = [(i, f"<title>a {mark}</title><h1>b {mark}</h1><p>c {mark}</p>") for i, mark in enumerate(["&quot", "&amp", "&lt", "&quo"])]
+    got = sorted((r.page_id, r.title, r.h1, *r.paragraphs) for r in pages.parsed(spark.createDataFrame(rows, "page_id long, html string")).collect())
+    assert got == [(i, f"a {c}", f"b {c}", f"c {c}") for i, c in enumerate(['"', "&", "<", "&quo"])]
+
+
 def test_malformed_pages(spark):
     html = '<p>a<b>x</p><p>c<br><p>d</div><script>var s = "</p><p>no";</script><a href="?q=1&amp;r=2">l</a><p>&eacute;'
     rows = spark.createDataFrame([(1, "http://a/b", html), (2, None, None), (3, "http://a/", "")], "page_id long, url string, html string")
